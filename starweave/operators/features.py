@@ -64,14 +64,16 @@ def flatten(frame: DataFrame) -> DataFrame:
     return flatten(frame.select(*columns))
 
 
-def one_per_key(dimension: DataFrame, key: str) -> DataFrame:
-    """At most one record per key, whatever the input holds.
+def one_per_key(records: DataFrame, key: str, order: str = "read_at") -> DataFrame:
+    """At most one record per key: the last one by the order column.
 
-    Records differ in more than the key only in broken inputs; the greatest
-    by its first features is kept, so the choice is the same in every run.
+    Without that column the greatest record is kept, so that the choice is
+    the same in every run.
     """
-    rest = [c for c in dimension.columns if c != key]
-    return dimension.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+    rest = [c for c in records.columns if c not in (key, order)]
+    row = F.struct(*rest)
+    last = F.max_by(row, order) if order in records.columns else F.max(row)
+    return records.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
 
 
 def join_users(

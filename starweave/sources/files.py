@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from starweave.sources import schemas
 
@@ -19,13 +19,15 @@ def read_ratings(spark: SparkSession, path, mode: str = "FAILFAST", with_order:
     frame = spark.read.schema(schemas.RATING).option("header", True).option("mode", mode).csv(path)
     if not with_order:
         return frame
-    return frame.select(
-        *schemas.RATING.names,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("rated_at"),
+    return frame.select(*schemas.RATING.names, _position().alias("rated_at"))
+
+
+def _position() -> Column:
+    """Where a row stands in its input; orders rows as the files do."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -37,7 +39,10 @@ def read_pairs(spark: SparkSession, path) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, path, schema: T.StructType, key: str, mode: str) -> DataFrame:
-    """JSON lines; a ``null`` line is legal and dropped, a broken one is not."""
+    """JSON lines; a ``null`` line is legal and dropped, a broken one is not.
+
+    ``read_at`` is the position of the record, to tell which duplicate is last.
+    """
     wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     frame = (
         spark.read.schema(wide)
@@ -56,7 +61,7 @@ def _read_json(spark: SparkSession, path, schema: T.StructType, key: str, mode:
         frame = frame.where(~F.coalesce(broken, F.lit(False)))
     elif mode != "PERMISSIVE":
         raise ValueError(f"unknown mode {mode!r}")
-    return frame.drop(_BAD).where(F.col(key).isNotNull())
+    return frame.withColumn("read_at", _position()).drop(_BAD).where(F.col(key).isNotNull())
 
 
 def read_businesses(spark: SparkSession, path, mode: str = "FAILFAST") -> DataFrame:
