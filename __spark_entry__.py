@@ -18,6 +18,7 @@ from starweave.operators import (  # noqa: E402
 )
 from starweave.operators.skew import measure_hot  # noqa: E402
 from starweave.plans import jobs  # noqa: E402
+from starweave.session import parquet_stage  # noqa: E402
 from starweave.sources import fixture_views as T  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,14 +221,14 @@ def _top_features(spark, sf):
 def _feature_model(spark, sf):
     return jobs.feature_regression(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
-        profile=S.QUICK_MODEL,
+        profile=S.QUICK_MODEL, stage=parquet_stage(spark),
     )
 
 
 def _hybrid_model(spark, sf):
     return jobs.hybrid(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
-        T.checkins(spark, sf), profile=S.QUICK_MODEL,
+        T.checkins(spark, sf), profile=S.QUICK_MODEL, stage=parquet_stage(spark),
     )
 
 
@@ -235,6 +236,7 @@ def _selector_model(spark, sf):
     return jobs.selected(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
         T.checkins(spark, sf), profile=S.QUICK_MODEL, selector=S.QUICK_MODEL,
+        stage=parquet_stage(spark),
     )
 
 
