@@ -16,7 +16,7 @@ from starweave.operators import (  # noqa: E402
     checkins as C, corating as K, encoding as E, evaluation as V, features as X,
     neighbours as N, ratings as R, selection as L, similarity as Z,
 )
-from starweave.operators.skew import measure_hot  # noqa: E402
+from starweave.operators.skew import lookup_join, measure_hot  # noqa: E402
 from starweave.plans import jobs  # noqa: E402
 from starweave.session import parquet_stage  # noqa: E402
 from starweave.sources import fixture_views as T  # noqa: E402
@@ -71,8 +71,11 @@ def _hybrid_table(spark, sf):
 def _candidates(spark, sf, item: str = "l_partkey"):
     train, asked = T.train_ratings(spark, sf, item), pairs(spark, sf, item)
     latest = R.latest_ratings(train)
-    known = asked.distinct().join(latest.select("business_id").distinct(), "business_id", "left_semi")
-    (asked_users,) = measure_hot(asked, ["user_id"])
+    asked_users, asked_items = measure_hot(asked, ["user_id"], ["business_id"])
+    known = lookup_join(
+        asked.distinct(), latest.select("business_id").distinct(), ["business_id"], "inner",
+        hot=asked_items, spread=["user_id"],
+    )
     (rating_users,) = measure_hot(train, ["user_id"])
     return N.candidates(
         known.select("user_id", F.col("business_id").alias("target")),
@@ -100,15 +103,6 @@ def _co_raters(spark, sf):
     )
 
 
-def _popular_similarity(spark, sf):
-    ratings = T.ratings(spark, sf)
-    one = Z.popular_pair_similarities(ratings, "pearson").withColumnRenamed("similarity", "pearson")
-    two = Z.popular_pair_similarities(ratings, "cosine").select(
-        "item_a", "item_b", F.col("similarity").alias("cosine")
-    )
-    return one.join(two, ["item_a", "item_b"])
-
-
 def _similarity(measure: str, item: str) -> Query:
     def query(spark, sf):
         wanted = Z.canonical_pairs(_candidates(spark, sf, item), "target", "item")
@@ -144,9 +138,10 @@ def _error_distribution(spark, sf):
 
 
 def _mean_predictions(rows, means, key):
-    return rows.select(*PAIR).distinct().join(means, key).select(
-        *PAIR, F.col(means.columns[1]).alias("prediction")
-    )
+    (hot,) = measure_hot(rows, [key])
+    other = PAIR[1 - PAIR.index(key)]
+    joined = lookup_join(rows.select(*PAIR).distinct(), means, [key], "inner", hot=hot, spread=[other])
+    return joined.select(*PAIR, F.col(means.columns[1]).alias("prediction"))
 
 
 def _combined(spark, sf):
@@ -271,7 +266,7 @@ _QUERIES: dict[str, Query] = {
     "co_rating_stats": _co_rating_stats,
     "co_raters": _co_raters,
     "popular_item_pairs": _popular_pairs,
-    "popular_pair_similarity": _popular_similarity,
+    "popular_pair_similarity": lambda s, d: Z.popular_pair_similarities(T.ratings(s, d)),
     "pearson_similarity": _similarity("pearson", DENSE),
     "cosine_similarity": _similarity("cosine", "l_partkey"),
     # neighbours and predictions

@@ -144,6 +144,7 @@ class _Request:
         return co_rating_moments(
             latest,
             hot_users=self.users,
+            hot_items=self.items,
             pairs=canonical_pairs(opened),
             target_flag=flag,
             tuning=self.tuning,

@@ -97,15 +97,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a relation with at most one row per key.
 
-    The facts of a hot key go to several slots, and its one dimension row is
-    repeated for each of them.
+    The facts of a hot key go to several slots, and its dimension rows are
+    repeated for each of them.  ``hot`` may be known for some of the keys only.
     """
-    keys = list(keys)
+    keys, route = list(keys), list(hot.keys)
     table = {k: (n,) for k, n in hot.splits(tuning.rows_per_slot).items()}
     if not table:
         return facts.join(dimension, keys, how)
-    left = _routed(facts, keys, table, [_SPLITS]).withColumn(_SLOT, _slot_of(spread, _SPLITS)).drop(_SPLITS)
-    right = _routed(dimension, keys, table, [_SPLITS]).withColumn(_SLOT, _all_slots(_SPLITS)).drop(_SPLITS)
+    left = _routed(facts, route, table, [_SPLITS]).withColumn(_SLOT, _slot_of(spread, _SPLITS)).drop(_SPLITS)
+    right = _routed(dimension, route, table, [_SPLITS]).withColumn(_SLOT, _all_slots(_SPLITS)).drop(_SPLITS)
     return left.join(right, [*keys, _SLOT], how).drop(_SLOT)
 
 

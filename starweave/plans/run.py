@@ -25,7 +25,6 @@ def _arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--mode", default="FAILFAST", choices=("FAILFAST", "PERMISSIVE", "DROPMALFORMED"))
     parser.add_argument("--cf-source", default="validation", choices=("validation", "train"))
     parser.add_argument("--exclude-target", action="store_true")
-    parser.add_argument("--single-file", action="store_true")
     return parser.parse_args(argv)
 
 
@@ -53,7 +52,7 @@ def main(argv=None, spark=None, **options) -> None:
                 options = {"cf_source": args.cf_source, "exclude_target": args.exclude_target, **options}
             job = jobs.hybrid if args.job == "hybrid" else jobs.selected
             out = job(ratings, pairs, users, businesses, checkins, stage=stage, **options)
-    files.write_predictions(out, args.out, args.single_file)
+    files.write_predictions(out, args.out)
 
 
 if __name__ == "__main__":

@@ -76,12 +76,7 @@ def read_checkins(spark: SparkSession, path, mode: str = "FAILFAST") -> DataFram
     return _read_json(spark, path, schemas.CHECKIN, "business_id", mode)
 
 
-def write_predictions(predictions: DataFrame, path: str, single_file: bool = False, mode: str = "error") -> None:
-    """Predictions as CSV with a header, one file per task.
-
-    ``single_file`` puts all rows through one task; it is for small results.
-    """
+def write_predictions(predictions: DataFrame, path: str, mode: str = "error") -> None:
+    """Predictions as a folder of CSV files with a header, one per task."""
     out = predictions.select(*schemas.PREDICTION.names)
-    if single_file:
-        out = out.coalesce(1)
     out.write.mode(mode).option("header", True).csv(path)

@@ -88,12 +88,13 @@ def skewed_rows(seed=5):
 
 @pytest.mark.parametrize("tuning", TUNINGS)
 def test_skewed_predictions_match_brute_force(spark, tuning):
+    stage = parquet_stage(spark)
     rows, asked = skewed_rows()
     truth = Ratings(rows)
     ratings = spark.createDataFrame(rows, RATING + ", rated_at int").repartition(3)
     pairs = spark.createDataFrame(asked, PAIR).repartition(5)
     for predict, expected in ((N.predict_pearson, truth.predict_pearson), (N.predict_cosine, truth.predict_cosine)):
-        got = predict(ratings, pairs, tuning=tuning).collect()
+        got = predict(ratings, pairs, tuning=tuning, stage=stage).collect()
         assert sorted((r["user_id"], r["business_id"]) for r in got) == sorted(asked)
         for row in got:
             want = expected(row["user_id"], row["business_id"])
@@ -144,7 +145,7 @@ def test_both_ways_to_co_ratings_agree(spark):
         return sorted(map(tuple, frame.select(*["item_a", "item_b", *K.MOMENTS]).collect()))
 
     expected = table(every)
-    for tuning in TUNINGS[1:]:
+    for tuning in TUNINGS[1:3]:
         assert table(K.co_rating_moments(latest, tuning=tuning)) == expected
         assert table(K.co_rating_moments(latest, pairs=pairs, tuning=tuning)) == expected
     assert table(K.moments(K.co_ratings_by_request(pairs, latest))) == expected
@@ -160,7 +161,7 @@ def test_popular_pairs(spark, golden):
     assert [r["business_id"] for r in R.most_popular(golden, 3).collect()] == ["b1", "b2", "b3"]
     pairs = Z.popular_pairs(R.most_popular(golden, 3)).collect()
     assert sorted(map(tuple, pairs)) == [("b1", "b2"), ("b1", "b3"), ("b2", "b3")]
-    got = values(Z.popular_pair_similarities(golden), "item_a", "item_b", value="similarity")
+    got = values(Z.popular_pair_similarities(golden), "item_a", "item_b", value="pearson")
     assert got == pytest.approx({k: v[1] for k, v in SIMILARITIES.items()}, abs=1e-6)
 
 
@@ -185,7 +186,7 @@ ratings_rows = st.lists(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=ratings_rows)
 def test_properties(spark, rows):
     ratings = spark.createDataFrame(rows, RATING)
