@@ -41,6 +41,25 @@ def candidates(
     )
 
 
+def drop_hopeless(history: DataFrame, k: int, rare: int, alike: list[str]) -> DataFrame:
+    """Drop rated items that cannot be among the k neighbours of any target.
+
+    Items with at most ``rare`` ratings, of one user and equal in ``alike``,
+    are equally similar to whatever target, so only the first of them by id
+    can be neighbours; one more is kept in case a target itself is left out.
+    Each task cuts its rows to that number before they are shuffled.
+    """
+    is_rare = F.col("n_ratings") <= rare
+    order = Window.partitionBy("user_id", *alike).orderBy("item")
+    first = (
+        history.where(is_rare)
+        .withColumn("_nth", F.row_number().over(order))
+        .where(F.col("_nth") <= k + 1)
+        .drop("_nth")
+    )
+    return history.where(~is_rare).unionByName(first)
+
+
 def top_neighbours(scored: DataFrame, k: int) -> DataFrame:
     """The k rows of highest (signed) similarity per (user, target).
 
@@ -105,22 +124,33 @@ class _Request:
         self.wanted = stage(wanted, "wanted")
         self.latest = stage(base.latest_ratings(ratings), "latest")
 
-    def candidates(self, with_means: bool, exclude_target: bool) -> DataFrame:
+    def candidates(self, measure: str, k: int, exclude_target: bool) -> DataFrame:
         history = self.latest
         columns = [F.col("user_id"), F.col("business_id").alias("item"), F.col("stars")]
         target_columns = [F.col("user_id"), F.col("business_id").alias("target")]
-        if with_means:
+        # Long histories are worth a look at how often their items are rated.
+        long = bool(self.users.splits(self.tuning.heavy_user))
+        if long or measure == "pearson":
             history = lookup_join(
-                history, base.business_means(self.ratings).drop("n_ratings"), ["business_id"], "inner",
+                history, base.business_means(self.ratings), ["business_id"], "inner",
                 hot=self.items, spread=["user_id"], tuning=self.tuning,
             )
-            columns.append(F.col("business_mean").alias("item_mean"))
+            columns += [F.col("business_mean").alias("item_mean"), F.col("n_ratings")]
+        history = history.select(*columns)
+        if measure == "pearson":
             target_columns.append(F.col("business_mean").alias("target_mean"))
+            if long:
+                # too few ratings for co-raters to count: the mean decides
+                history = drop_hopeless(history, k, S.FEW_CO_RATERS, ["item_mean"])
+        elif long:
+            # one rating: the only possible co-rater is the user, with cosine 1
+            history = drop_hopeless(history.withColumn("_sign", F.signum("stars")), k, 1, ["_sign"])
+        keep = ["user_id", "item", "stars"] + (["item_mean"] if measure == "pearson" else [])
         # An unknown target has similarity 0 to everything.
         known = self.wanted.where(F.col("business_mean").isNotNull())
         opened = candidates(
             known.select(*target_columns),
-            history.select(*columns),
+            history.select(*keep),
             target_users=self.pair_users,
             history_users=self.users,
             tuning=self.tuning,
@@ -183,7 +213,7 @@ def pearson_neighbours(
 
 
 def _pearson_neighbours(request: _Request, k: int, all_items: bool = False, exclude_target: bool = False) -> DataFrame:
-    opened = request.candidates(with_means=True, exclude_target=exclude_target)
+    opened = request.candidates("pearson", k, exclude_target)
     # Pairs with few co-raters need no sums: the means decide.
     sums = request.moments(opened, all_items).where(F.col("n") > S.FEW_CO_RATERS)
     scored = request.look_up(opened, sums, "left").select(
@@ -209,7 +239,7 @@ def cosine_neighbours(
 def _cosine_neighbours(
     request: _Request, k: int, shrinkage: float, all_items: bool = False, exclude_target: bool = False
 ) -> DataFrame:
-    opened = request.candidates(with_means=False, exclude_target=exclude_target)
+    opened = request.candidates("cosine", k, exclude_target)
     # Without co-raters the similarity is 0, so an inner join drops no neighbour.
     scored = request.look_up(opened, request.moments(opened, all_items), "inner").select(
         "user_id", "target", "item", "stars", rules.cosine_similarity(shrinkage).alias("similarity")

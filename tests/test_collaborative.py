@@ -113,6 +113,32 @@ def test_training_pairs(spark, exclude):
         assert row["prediction"] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("exclude", [False, True])
+def test_long_tail_of_a_hot_user_is_cut_exactly(spark, exclude):
+    rng = random.Random(11)
+    tail = [f"t{i:03}" for i in range(120)]
+    rows = [("hot", i, float(rng.randint(1, 5))) for i in [*tail, "b0", "b1", "b2"]]
+    rows += [(u, b, float(rng.randint(1, 5))) for u in "uvwxyz" for b in ("b0", "b1", "b2", "b3")]
+    rows += [("u", i, float(rng.randint(1, 5))) for i in tail[50:70]]
+    rows = [(*r, n) for n, r in enumerate(rows)]
+    truth = Ratings(rows)
+    ratings = spark.createDataFrame(rows, RATING + ", rated_at int")
+    asked = [("hot", t) for t in ("b3", "b0", "t000", "t001", "t055", "t119")] + [("u", "t003"), ("u", "b1")]
+    pairs = spark.createDataFrame(asked, PAIR)
+    tuning = Tuning(heavy_user=40, grid_block=8)
+    request = N._Request(ratings, pairs, tuning, lambda frame, name: frame)
+    for measure in ("pearson", "cosine"):
+        opened = request.candidates(measure, 3, exclude).where("user_id = 'hot'")
+        assert opened.count() < 6 * len(truth.by_user["hot"]) / 2
+    for row in N.predict_cosine(ratings, pairs, 3, exclude_target=exclude, tuning=tuning).collect():
+        want = truth.predict_cosine(row["user_id"], row["business_id"], 3, exclude)
+        assert row["prediction"] == pytest.approx(want, abs=1e-9), row
+    if not exclude:
+        for row in N.predict_pearson(ratings, pairs, 3, tuning=tuning).collect():
+            want = truth.predict_pearson(row["user_id"], row["business_id"], 3)
+            assert row["prediction"] == pytest.approx(want, abs=1e-9), row
+
+
 def test_one_pass_covers_rated_and_requested_pairs(spark):
     rows, asked = skewed_rows(9)
     truth = Ratings(rows)
