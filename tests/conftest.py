@@ -6,14 +6,13 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from starweave.session import build_session  # noqa: E402
-from starweave.settings import Tuning  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__driver__memory="6g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")),
@@ -23,12 +22,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def tiny_tuning():
-    """Every key is hot and every user heavy."""
-    return Tuning(heavy_user=1, grid_block=1, rows_per_slot=1, broadcast_rows=1)
-
-
 RATING = "user_id string, business_id string, stars double"
 PAIR = "user_id string, business_id string"
 
