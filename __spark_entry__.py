@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -303,14 +304,32 @@ _QUERIES: dict[str, Query] = {
 }
 
 
+def _text_modules() -> list:
+    """The text queries and the pipeline, as far as they are there; the rest works without them."""
+    found = []
+    for name, parts in (("starweave.llm.queries", ("starweave.llm",)), ("corpus_pipeline", ("corpus_pipeline", "starweave.llm"))):
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as missing:
+            if missing.name is None or not missing.name.startswith(parts):
+                raise
+    return found
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; every query reads its whole tables."""
-    return {name: (lambda s, d, q=query: rounded(q(s, d))) for name, query in _QUERIES.items()}
+    own = {name: (lambda s, d, q=query: rounded(q(s, d))) for name, query in _QUERIES.items()}
+    for module in _text_modules():
+        own |= module.queries()
+    return own
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows and column names."""
-    return oracle.oracle_sql()
+    own = oracle.oracle_sql()
+    for module in _text_modules():
+        own |= module.oracle_sql()
+    return own
 
 
 def entry(spark: SparkSession) -> DataFrame:
