@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starweave.llm import mixing, phrases, secrets, simhash, suffixes
-from starweave.llm.common import table
+from starweave.llm import language, mixing, phrases, quality, secrets, simhash, suffixes, toxicity
+from starweave.llm.common import crc32_of, table
 from starweave.llm.oracles import ORACLES
 
 
@@ -42,6 +42,33 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def _scored(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (crc32_of("doc_id") % modulus == held_out).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.quality_model(docs, table(spark, sf_dir, "labels"), crc32_of("doc_id") % 4 != 2)
+    return _scored(quality.score_quality(docs, model, name="score"), 4, 2, quality.THRESHOLD)
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.language_model(docs, crc32_of("doc_id") % 5 != 0)
+    return language.predict_language(docs.select("doc_id", "text"), net).select(
+        "doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"), crc32_of("doc_id") % 3 != 1)
+    return _scored(toxicity.score_toxicity(docs, model, name="score"), 3, 1, toxicity.THRESHOLD)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
@@ -57,6 +84,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring_dedup,
     "op3_benchmark_decontamination": decontamination,
     "op5_source_mixing": source_mixing,
+    "op6_quality_classifier": quality_classifier,
+    "op7_language_id": language_id,
+    "op9_toxicity": toxicity_scores,
     "op10_secret_scan": secret_scan,
 }
 
