@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from starweave.llm.licences import TEMPLATES
+
 _SUBSTRINGS = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -54,6 +56,65 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM docs d LEFT JOIN counts USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+_PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LICENCES = r"""
+WITH templates(template, text) AS (VALUES %(templates)s),
+template_words AS (
+  SELECT template, word, count(*) AS tf FROM (
+    SELECT template, unnest(regexp_split_to_array(%(template_text)s, '[^a-z0-9]+')) AS word FROM templates
+  ) WHERE word <> '' GROUP BY ALL
+), docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(source, 'unknown') || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path
+  FROM documents
+), total AS (SELECT count(*) AS n FROM docs), counts AS (
+  SELECT word, count(*) AS df FROM (
+    SELECT DISTINCT doc_id, unnest(regexp_split_to_array(%(text)s, '[^a-z0-9]+')) AS word FROM docs
+  ) WHERE word IN (SELECT word FROM template_words) GROUP BY word
+), idf AS (
+  SELECT DISTINCT word, coalesce(df, 0) AS df, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0 AS idf
+  FROM template_words LEFT JOIN counts USING (word), total
+), vectors AS (SELECT template, word, tf * idf AS weight FROM template_words JOIN idf USING (word)),
+units AS (SELECT template, word, weight / sqrt(sum(weight * weight) OVER (PARTITION BY template)) AS unit FROM vectors),
+passages AS (
+  SELECT path, list_filter(regexp_split_to_array(%(passage)s, '[^a-z0-9]+'), lambda w: w <> '') AS words
+  FROM (SELECT path, unnest(regexp_split_to_array(text, '\n|[.!?]+ ')) AS passage FROM docs)
+), looked AS (
+  SELECT path, array_to_string(words, ' ') AS passage, words FROM passages
+  WHERE list_has_any(words, (SELECT list(word) FROM idf, total WHERE df < greatest(2.0, 0.05 * n)))
+), terms AS (
+  SELECT path, passage, word, count(*) AS tf FROM (SELECT path, passage, unnest(words) AS word FROM looked) GROUP BY ALL
+), weighted AS (
+  SELECT path, passage, word, tf * coalesce(idf, ln((1.0 + n) / 2.0) + 1.0) AS weight
+  FROM terms LEFT JOIN idf USING (word), total
+), normed AS (
+  SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY path, passage)) AS norm FROM weighted
+), scored AS (
+  SELECT path, passage, template, round(sum(weight * unit) / min(norm), 6) AS score
+  FROM normed JOIN units USING (word) GROUP BY ALL HAVING score >= 0.7
+), own AS (
+  SELECT path, template AS licence, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, template) AS r FROM scored
+  ) WHERE r = 1
+), listed AS (SELECT doc_id, docs.path, length(text) AS size, licence, score FROM docs LEFT JOIN own USING (path)),
+given AS (
+  SELECT directory, licence AS given FROM (
+    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY score DESC, path) AS r
+    FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM listed WHERE licence IS NOT NULL AND size <= 600)
+  ) WHERE r = 1
+), ups AS (
+  SELECT path, regexp_replace(path, '/[^/]*$', '') AS near_, regexp_replace(path, '/.*$', '') AS far_ FROM listed
+)
+SELECT doc_id, l.path, coalesce(l.licence, a.given, b.given) AS licence, l.score,
+  CASE WHEN l.licence IS NOT NULL THEN 'own' WHEN coalesce(a.given, b.given) IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN l.licence IS NOT NULL THEN NULL WHEN a.given IS NOT NULL THEN a.directory WHEN b.given IS NOT NULL THEN b.directory END AS directory
+FROM listed l JOIN ups ON ups.path = l.path
+LEFT JOIN given a ON a.directory = ups.near_ LEFT JOIN given b ON b.directory = ups.far_
+""" % {
+    "templates": ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items()),
+    "template_text": _PLAIN.format("text"), "text": _PLAIN.format("text"), "passage": _PLAIN.format("passage"),
+}
+
 _MIXING = r"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -90,5 +151,6 @@ FROM placed
 ORACLES = {
     "op2_substring_dedup": _SUBSTRINGS,
     "op3_benchmark_decontamination": _DECONTAMINATION,
+    "op4_license_scan": _LICENCES,
     "op5_source_mixing": _MIXING,
 }

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starweave.llm import language, mixing, phrases, quality, secrets, simhash, suffixes, toxicity
+from starweave.llm import language, licences, mixing, phrases, quality, secrets, simhash, sketches, suffixes, toxicity
 from starweave.llm.common import crc32_of, table
 from starweave.llm.oracles import ORACLES
 
@@ -37,11 +37,23 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the top directory, hundreds of ids are folders in it."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    found = licences.scan_licences(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), *found.columns)
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints_with_edit(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _scored(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", (crc32_of("doc_id") % modulus == held_out).alias("held_out"), "score",
@@ -83,9 +95,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": near_dedup,
     "op2_substring_dedup": substring_dedup,
     "op3_benchmark_decontamination": decontamination,
+    "op4_license_scan": license_scan,
     "op5_source_mixing": source_mixing,
     "op6_quality_classifier": quality_classifier,
     "op7_language_id": language_id,
+    "op8_document_fingerprints": document_fingerprints,
     "op9_toxicity": toxicity_scores,
     "op10_secret_scan": secret_scan,
 }

@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
 A text's paragraphs become 64-bit digests; every digest is added to three
-cells that hold a count, the exclusive or of the digests and of their checks.
+cells that hold a count and the exclusive or of the digests; a digest's last
+24 bits check its first 40, which tells a single digest from several.
 Sketches of two versions are subtracted cell by cell: what both have
 cancels, and peeling cells with a single digest recovers the rest.  If a
 sketch is too small for the difference, larger ones are tried.  All of it
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from starweave.llm.common import staged
 
 #: Slots of each of the three tables: of the published sketch, then of ever larger ones.
-BASE_SLOTS, LARGER_SLOTS = 4, (8, 32, 128)
-#: Digests of both versions in one group of a larger sketch, on average; rounds of peeling.
-GROUP_KEYS, ROUNDS = 8, 8
-PARAGRAPH = r"\n|(?<=[.!?]) "
+BASE_SLOTS, LARGER_SLOTS = 8, (6, 24, 128)
+#: Digests of both versions in one group of a larger sketch, on average; rounds of peeling, by size.
+GROUP_KEYS, ROUNDS = 5, {8: 8, 6: 5, 24: 10, 128: 20}
+#: Paragraphs are lines, and sentences within them.
+PARAGRAPH = r"[\n.!?]+"
 
 
 
@@ -31,14 +33,27 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
+_CHECK_BITS = 24
+_CHECK_MASK = (1 << _CHECK_BITS) - 1
+
+
+def _check(k: Column) -> Column:
+    return F.xxhash64(F.shiftrightunsigned(k, _CHECK_BITS)).bitwiseAND(_long(_CHECK_MASK))
+
+
+def _digest(*parts: Column) -> Column:
+    """40 bits of a hash, then 24 bits that check them."""
+    return _let(F.xxhash64(*parts).bitwiseAND(_long(~_CHECK_MASK)), lambda x: x.bitwiseOR(_check(x)))
+
+
 def paragraph_digests(text: Column) -> Column:
-    """Digests of the paragraphs: lines, and sentences within them.
+    """Digests of the paragraphs, without the marks that end them and space around them.
 
     The n-th copy of a paragraph has a digest of its own, so that numbers of
     copies count.  Blank paragraphs are left out; null is the empty text.
     """
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda x: F.trim(x) != "")
-    ordered = F.array_sort(F.transform(lines, lambda x: F.xxhash64(F.lit("paragraph"), x)))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda x: F.trim(x)), lambda x: x != "")
+    ordered = F.sort_array(F.transform(lines, lambda x: F.xxhash64(F.lit("paragraph"), x)))
 
     def numbered(all_: Column) -> Column:
         # how many equal neighbours stand before each place: found by steps of falling powers of two
@@ -51,7 +66,7 @@ def paragraph_digests(text: Column) -> Column:
             )
 
         # only a place whose neighbour is equal is looked at more closely
-        return F.transform(all_, lambda x, i: F.xxhash64(
+        return F.transform(all_, lambda x, i: _digest(
             x, F.when((i > 0) & (F.get(all_, i - 1) == x), copies(x, i)).otherwise(F.lit(0))
         ))
 
@@ -59,30 +74,30 @@ def paragraph_digests(text: Column) -> Column:
 
 
 def _placed(keys: Column, slots: int, level: int) -> Column:
-    """Each digest with its check and its slot in the three tables."""
+    """Each digest with its slot in the three tables."""
     def place(k: Column) -> Column:
         return _let(F.xxhash64(k, F.lit(level)), lambda x: F.struct(
-            k.alias("k"), F.shiftrightunsigned(x, 32).alias("h"),
+            k.alias("k"),
             *[F.pmod(F.shiftrightunsigned(x, 10 * j), _long(slots)).cast("int").alias(f"s{j}") for j in range(3)],
         ))
 
     return F.transform(keys, place)
 
 
-def _cell(n: Column, k: Column, h: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), h.alias("h"))
+def _cell(n: Column, k: Column) -> Column:
+    return F.struct(n.alias("n"), k.alias("k"))
 
 
 def _changed(cell: Column, items: Column, sign) -> Column:
     """The cell after adding (sign 1) or taking away (sign of each item) the items."""
     return F.aggregate(items, cell, lambda a, x: _cell(
-        a["n"] + sign(x), a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(x["h"])
+        a["n"] + sign(x), a["k"].bitwiseXOR(x["k"])
     ))
 
 
 def sketch(keys: Column, slots: int = BASE_SLOTS, level: int = 0) -> Column:
     """Cells of three tables, one after the other."""
-    zero = _cell(_long(0), _long(0), _long(0))
+    zero = _cell(_long(0), _long(0))
 
     def cells(placed: Column, j: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: _changed(
@@ -92,28 +107,45 @@ def sketch(keys: Column, slots: int = BASE_SLOTS, level: int = 0) -> Column:
     return _let(_placed(keys, slots, level), lambda placed: F.concat(*[cells(placed, j) for j in range(3)]))
 
 
+def signed_sketch(a: Column, b: Column, slots: int, level: int) -> Column:
+    """The difference of the sketches of ``a`` and ``b``, made at once: digests of ``b`` are taken away."""
+    zero = _cell(_long(0), _long(0))
+
+    def placed(keys: Column, sign: int) -> Column:
+        return F.transform(_placed(keys, slots, level), lambda x: F.struct(
+            x["k"].alias("k"), *[x[f"s{j}"].alias(f"s{j}") for j in range(3)], _long(sign).alias("n")
+        ))
+
+    def cells(both: Column, j: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: _changed(
+            zero, F.filter(both, lambda x: x[f"s{j}"] == i), lambda x: x["n"]
+        ))
+
+    return _let(F.concat(placed(a, 1), placed(b, -1)), lambda both: F.concat(*[cells(both, j) for j in range(3)]))
+
+
 def subtract(a: Column, b: Column) -> Column:
     """Cell by cell difference of two sketches of equal size."""
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"])))
 
 
-def peel(cells: Column, slots: int, level: int, rounds: int = ROUNDS) -> Column:
+def peel(cells: Column, slots: int, level: int) -> Column:
     """``done, found``: the digests that differ, each with its sign, and whether nothing is left over."""
     none = F.expr("cast(array() as array<struct<k: bigint, n: bigint>>)")
 
     def pure(state: Column) -> Column:
-        single = F.filter(state, lambda c: (F.abs(c["n"]) == 1) & (F.shiftrightunsigned(F.xxhash64(c["k"], F.lit(level)), 32) == c["h"]))
+        single = F.filter(state, lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["k"].bitwiseAND(_long(_CHECK_MASK))))
         return F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
     def without(state: Column, found: Column) -> Column:
         def place(y: Column) -> Column:
             return _let(F.xxhash64(y["k"], F.lit(level)), lambda x: F.struct(
-                y["k"].alias("k"), y["n"].alias("n"), F.shiftrightunsigned(x, 32).alias("h"),
-                F.array(*[F.pmod(F.shiftrightunsigned(x, 10 * j), _long(slots)).cast("int") + j * slots for j in range(3)]).alias("at"),
+                y["k"].alias("k"), y["n"].alias("n"),
+                *[(F.pmod(F.shiftrightunsigned(x, 10 * j), _long(slots)).cast("int") + j * slots).alias(f"s{j}") for j in range(3)],
             ))
 
         return _let(F.transform(found, place), lambda placed: F.transform(state, lambda c, i: F.when(c["k"] == 0, c).otherwise(
-            _changed(c, F.filter(placed, lambda y: F.array_contains(y["at"], i)), lambda y: -y["n"])
+            _changed(c, F.filter(placed, lambda y: (y["s0"] == i) | (y["s1"] == i) | (y["s2"] == i)), lambda y: -y["n"])
         )))
 
     def step(state: Column, _: Column) -> Column:
@@ -122,20 +154,25 @@ def peel(cells: Column, slots: int, level: int, rounds: int = ROUNDS) -> Column:
         )))
 
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), F.struct(cells.alias("cells"), none.alias("found")), step,
+        F.sequence(F.lit(1), F.lit(ROUNDS[slots])), F.struct(cells.alias("cells"), none.alias("found")), step,
         lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)).alias("done"), s["found"].alias("found")),
     )
 
 
+def _count(found: Column) -> Column:
+    """Recovered digests; one that was taken for single wrongly is found again with the other sign, and both fall out."""
+    return (2 * F.size(F.array_distinct(F.transform(found, lambda y: y["k"]))) - F.size(found)).cast("long")
+
+
 def _differing(a: Column, b: Column, slots: int, level: int, larger: tuple[int, ...]) -> Column:
     """How many digests differ, by sketches of this size or, where peeling fails, of the next."""
     def judged(result: Column) -> Column:
-        most = F.size(result["found"]).cast("long")
+        most = _count(result["found"])
         if larger:
             most = _differing(a, b, larger[0], level + 1, larger[1:])
-        return F.when(result["done"], F.size(result["found"]).cast("long")).otherwise(most)
+        return F.when(result["done"], _count(result["found"])).otherwise(most)
 
-    return _let(peel(subtract(sketch(a, slots, level), sketch(b, slots, level)), slots, level), judged)
+    return _let(peel(signed_sketch(a, b, slots, level), slots, level), judged)
 
 
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
@@ -156,7 +193,7 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
         ))
 
     return _let(peel(subtract(base_a, base_b), BASE_SLOTS, 0), lambda r: F.when(
-        r["done"], F.size(r["found"]).cast("long")
+        r["done"], _count(r["found"])
     ).otherwise(grouped(a, b)))
 
 
@@ -167,9 +204,8 @@ def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A sketch as hex digits: count, digests and checks of each cell."""
-    hex_ = lambda x, n: F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 17 - n, n))
-    return F.array_join(F.transform(cells, lambda c: F.concat(hex_(c["n"], 4), hex_(c["k"], 16), hex_(c["h"], 8))), "")
+    """A sketch as text: count and digests of each cell."""
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]))), " ")
 
 
 #: Stands for a null id: such documents come after all others.
