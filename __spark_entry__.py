@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,12 +20,14 @@ from starweave.operators import (  # noqa: E402
 )
 from starweave.operators.skew import lookup_join, measure_hot  # noqa: E402
 from starweave.plans import jobs  # noqa: E402
-from starweave.session import parquet_stage  # noqa: E402
-from starweave.sources import fixture_views as T  # noqa: E402
+from starweave.session import parquet_stage, shared_folder  # noqa: E402
+from starweave.sources import files, fixture_views as T  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = ["user_id", "business_id"]
 DENSE = "l_suppkey"
+#: Sizes at which the test tables have hot keys, more of them than the list holds.
+SKEWED = S.Tuning(heavy_user=60, grid_block=25, rows_per_slot=40, hot_keys=30)
 
 
 def rounded(frame: DataFrame) -> DataFrame:
@@ -98,35 +101,54 @@ def _popular_pairs(spark, sf):
 
 
 def _co_raters(spark, sf):
-    wanted = Z.canonical_pairs(_popular_pairs(spark, sf), "first", "second")
-    return K.co_ratings_by_request(wanted, R.latest_ratings(T.ratings(spark, sf))).select(
-        "item_a", "item_b", "user_id"
-    )
+    return Z.popular_co_raters(T.ratings(spark, sf))
 
 
 def _similarity(measure: str, item: str) -> Query:
     def query(spark, sf):
-        wanted = Z.canonical_pairs(_candidates(spark, sf, item), "target", "item")
-        return Z.similarities(wanted, T.train_ratings(spark, sf, item), measure)
+        stage = parquet_stage(spark)
+        wanted = stage(Z.canonical_pairs(_candidates(spark, sf, item), "target", "item"), "pairs")
+        targets = pairs(spark, sf, item).select("business_id").distinct()
+        ratings = stage(T.train_ratings(spark, sf, item), "ratings")
+        return Z.similarities(wanted, ratings, measure, targets=targets, stage=stage)
     return query
 
 
 def _neighbours(find) -> Query:
     def query(spark, sf):
-        return find(T.train_ratings(spark, sf), pairs(spark, sf))
+        stage = parquet_stage(spark)
+        return find(stage(T.train_ratings(spark, sf), "ratings"), pairs(spark, sf), stage=stage)
     return query
 
 
-def _predict(how, item: str = "l_partkey") -> Query:
+def _predict(how, item: str = "l_partkey", **options) -> Query:
     def query(spark, sf):
-        return how(T.train_ratings(spark, sf, item), pairs(spark, sf, item)).select(*PAIR, "prediction")
+        stage = parquet_stage(spark)
+        ratings = stage(T.train_ratings(spark, sf, item), "ratings")
+        return how(ratings, pairs(spark, sf, item), stage=stage, **options).select(*PAIR, "prediction")
     return query
 
 
+def _train_feature(spark, sf, item, **options):
+    stage = parquet_stage(spark)
+    return N.predict_training_pairs(stage(T.train_ratings(spark, sf, item), "ratings"), stage=stage, **options)
+
+
+def _with_blanks(how, spark, sf):
+    """Predictions for hold-out pairs in which the user, the business or both are blank."""
+    asked = pairs(spark, sf).select(*[
+        F.when(~F.substring(other, -1, 1).isin(*blank), F.col(c)).alias(c)
+        for c, other, blank in (("user_id", "business_id", "13579"), ("business_id", "user_id", "02468"))
+    ]).where(F.col("user_id").isNull() | F.col("business_id").isNull())
+    stage = parquet_stage(spark)
+    return how(stage(T.train_ratings(spark, sf), "ratings"), asked, stage=stage).select(*PAIR, "prediction")
+
+
 def _scored(how, spark, sf):
     """Predictions for the distinct hold-out pairs beside every hold-out rating."""
     holdout = T.holdout_ratings(spark, sf)
-    predicted = how(T.train_ratings(spark, sf), holdout.select(*PAIR).distinct())
+    stage = parquet_stage(spark)
+    predicted = how(stage(T.train_ratings(spark, sf), "ratings"), holdout.select(*PAIR).distinct(), stage=stage)
     return V.with_actuals(predicted, holdout)
 
 
@@ -236,7 +258,53 @@ def _selector_model(spark, sf):
     )
 
 
+def _written(frame: DataFrame, kind: str) -> str:
+    """The frame as files of that kind in the shared folder, with one more column; their path."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
+    writer = frame.withColumn("further", F.lit("x")).write.option("header", True)
+    getattr(writer, kind)(path)
+    return path
+
+
+def _read_ratings(spark, sf):
+    path = _written(T.ratings(spark, sf).select(*PAIR, "stars"), "csv")
+    return files.read_ratings(spark, path).select(*PAIR, "stars")
+
+
+def _read_pairs(spark, sf):
+    return files.read_pairs(spark, _written(pairs(spark, sf), "csv"))
+
+
+def _read_users(spark, sf):
+    path = _written(T.users(spark, sf), "json")
+    return X.user_engagement(X.one_per_key(files.read_users(spark, path), "user_id"))
+
+
+def _read_businesses(spark, sf):
+    path = _written(T.businesses(spark, sf), "json")
+    return X.business_wide(X.one_per_key(files.read_businesses(spark, path), "business_id"))
+
+
+def _read_checkins(spark, sf):
+    path = _written(T.checkins(spark, sf), "json")
+    return C.totals(X.one_per_key(files.read_checkins(spark, path), "business_id"))
+
+
+def _round_trip(spark, sf):
+    """Ratings as predictions: written by the prediction writer and read again."""
+    path = f"{shared_folder(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    files.write_predictions(T.ratings(spark, sf).select(*PAIR, F.col("stars").alias("prediction")), path)
+    return files.read_ratings(spark, path, with_order=False).withColumnRenamed("stars", "prediction")
+
+
 _QUERIES: dict[str, Query] = {
+    # readers and the writer, over files made of the tables
+    "read_ratings_csv": _read_ratings,
+    "read_pairs_csv": _read_pairs,
+    "read_users_json": _read_users,
+    "read_businesses_json": _read_businesses,
+    "read_checkins_json": _read_checkins,
+    "predictions_round_trip": _round_trip,
     # scans
     "scan_ratings": lambda s, d: T.ratings(s, d).select(*PAIR, "stars"),
     "scan_validation_pairs": pairs,
@@ -276,7 +344,13 @@ _QUERIES: dict[str, Query] = {
     "predict_pearson_cf": _predict(N.predict_pearson),
     "predict_pearson_cf_dense": _predict(N.predict_pearson, DENSE),
     "predict_cosine_cf": _predict(N.predict_cosine),
-    "cf_train_feature": lambda s, d: N.predict_training_pairs(T.train_ratings(s, d)),
+    "cf_train_feature": lambda s, d: _train_feature(s, d, "l_partkey"),
+    # small sizes, so that the routes of hot keys run on the test tables too
+    "predict_pearson_cf_skewed": _predict(N.predict_pearson, DENSE, tuning=SKEWED),
+    "predict_cosine_cf_skewed": _predict(N.predict_cosine, tuning=SKEWED),
+    "cf_train_feature_skewed": lambda s, d: _train_feature(s, d, "l_partkey", tuning=SKEWED),
+    "predict_pearson_cf_blank_ids": lambda s, d: _with_blanks(N.predict_pearson, s, d),
+    "predict_cosine_cf_blank_ids": lambda s, d: _with_blanks(N.predict_cosine, s, d),
     # check-ins
     "checkin_total": lambda s, d: C.totals(T.checkins(s, d)),
     "checkin_by_day": lambda s, d: C.by_day(T.checkins(s, d)),

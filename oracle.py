@@ -253,9 +253,40 @@ labelled AS (
 )"""
 
 
+_BLANKED = """
+asked AS (
+  SELECT * FROM (
+    SELECT CASE WHEN right(business_id, 1) NOT IN ('1', '3', '5', '7', '9') THEN user_id END AS user_id,
+           CASE WHEN right(user_id, 1) NOT IN ('0', '2', '4', '6', '8') THEN business_id END AS business_id
+    FROM holdout)
+  WHERE user_id IS NULL OR business_id IS NULL
+)"""
+
+
+def _blank_ids(value: str) -> str:
+    return _with(RATINGS, _means("train"), _BLANKED) + f"""
+        SELECT a.user_id, a.business_id, round({value}, 6) AS prediction
+        FROM asked a LEFT JOIN user_means um ON um.user_id = a.user_id
+        LEFT JOIN item_means im ON im.business_id = a.business_id"""
+
+
+def _same_result(queries: dict[str, str]) -> dict[str, str]:
+    """Queries that differ from others in how the work is spread, or in where the rows come from."""
+    return {
+        "predict_pearson_cf_skewed": queries["predict_pearson_cf_dense"],
+        "predict_cosine_cf_skewed": queries["predict_cosine_cf"],
+        "cf_train_feature_skewed": queries["cf_train_feature"],
+        "read_ratings_csv": queries["scan_ratings"],
+        "read_pairs_csv": queries["scan_validation_pairs"],
+        "read_users_json": queries["user_features_engagement"],
+        "read_businesses_json": queries["business_features_wide"],
+        "read_checkins_json": queries["checkin_total"],
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     raw = _with(RATINGS)
-    return {
+    found = {
         "scan_ratings": f"{raw} SELECT user_id, business_id, stars FROM raw",
         "scan_validation_pairs": f"{raw} SELECT user_id, business_id FROM holdout",
         "business_features_wide": _with(RATINGS, BUSINESSES) + f" SELECT b.business_id, {_WIDE} FROM businesses b",
@@ -324,6 +355,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, business_id, {_ROUNDED} FROM holdout JOIN predicted USING (user_id, business_id)""",
         "predict_cosine_cf": _cf("cosine", "holdout", 15) + f"""
             SELECT user_id, business_id, {_ROUNDED} FROM holdout JOIN predicted USING (user_id, business_id)""",
+        "predictions_round_trip": raw + " SELECT user_id, business_id, stars AS prediction FROM raw",
+        "predict_pearson_cf_blank_ids": _blank_ids("coalesce(um.user_mean, 3.45e0)"),
+        "predict_cosine_cf_blank_ids": _blank_ids("(coalesce(um.user_mean, 3.45e0) + coalesce(im.item_mean, 3.45e0)) / 2"),
         "cf_train_feature": _cf("cosine", "train", 15) + f" SELECT user_id, business_id, {_ROUNDED} FROM predicted",
         "rmse": _cf("cosine", "holdout", 15) + """
             SELECT round(sqrt(avg((prediction - stars) ** 2)), 6) AS rmse, count(*) AS n
@@ -387,3 +421,4 @@ def oracle_sql() -> dict[str, str]:
             SELECT feature, position, round(correlation, 6) AS correlation FROM corr
             ORDER BY round(abs(correlation), 9) DESC NULLS LAST, position LIMIT 6""",
     }
+    return found | _same_result(found)

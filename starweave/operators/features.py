@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from starweave.operators.skew import HotKeys, lookup_join, measure_hot
+from starweave.operators.skew import HotKeys, lookup_join, measure_hot, pair_lookup_join
 from starweave.settings import DEFAULT_TUNING, Tuning
 from starweave.sources.schemas import ATTRIBUTES
 
+# fixed values: feature names and their order
 USER_BASIC = ("user_review_count", "yelping_since", "average_stars")
 USER_ENGAGEMENT = ("user_review_count", "useful", "funny", "cool", "fans", "average_stars")
 BUSINESS_NARROW = ("business_stars", "business_review_count", "is_open")
@@ -72,7 +73,14 @@ def one_per_key(records: DataFrame, key: str, order: str = "read_at") -> DataFra
     """
     rest = [c for c in records.columns if c not in (key, order)]
     row = F.struct(*rest)
-    last = F.max_by(row, order) if order in records.columns else F.max(row)
+    if order in records.columns:
+        by = F.col(order)
+    else:  # maps have no order, their sorted entries do
+        by = F.struct(*[
+            F.array_sort(F.map_entries(c)).alias(c) if isinstance(records.schema[c].dataType, T.MapType) else F.col(c)
+            for c in rest
+        ])
+    last = F.max_by(row, by)
     return records.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
 
 
@@ -131,18 +139,15 @@ def hybrid_feature_table(
     A business without check-ins has no business features at all.  ``cf`` has
     user_id, business_id and prediction, one row per pair.
     """
-    user_hot, business_hot, copies = measure_hot(
-        rows, ["user_id"], ["business_id"], ["user_id", "business_id"], tuning=tuning
-    )
+    user_hot, business_hot = measure_hot(rows, ["user_id"], ["business_id"], tuning=tuning)
     joined = join_users(rows, user_engagement(users), hot=user_hot, tuning=tuning)
     joined = join_businesses(
         joined, business_with_checkins(businesses, checkin_totals), hot=business_hot, tuning=tuning
     )
-    joined = lookup_join(
+    joined = pair_lookup_join(
         joined,
         cf.select("user_id", "business_id", F.col("prediction").alias("cf_prediction")),
-        ["user_id", "business_id"],
-        hot=copies,
+        [user_hot, business_hot],
         tuning=tuning,
     )
     return joined.select(*rows.columns, *HYBRID_FEATURES)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave import settings as S
@@ -11,7 +9,7 @@ from starweave.functions import rating_rules as rules
 from starweave.operators import ratings as base
 from starweave.operators.corating import co_rating_moments
 from starweave.operators.similarity import canonical_pairs
-from starweave.operators.skew import HotKeys, grid_join, lookup_join, measure_hot
+from starweave.operators.skew import HotKeys, grid_join, lookup_join, measure_hot, pair_lookup_join
 from starweave.session import Stage, no_stage
 from starweave.settings import DEFAULT_TUNING, Tuning
 
@@ -85,21 +83,17 @@ def weighted_means(neighbours: DataFrame) -> DataFrame:
     )
 
 
-def _hot_item_pairs(targets: HotKeys, items: HotKeys, tuning: Tuning) -> HotKeys:
-    """Item pairs that many candidate rows may look up.
+def _item_bounds(targets: HotKeys, items: HotKeys) -> HotKeys:
+    """How many candidate rows may look up a pair that an item is part of.
 
-    A pair (t, i) is looked up at most min(rows with target t, ratings of i)
-    times, so only pairs of hot keys can be hot.
+    As target an item stands in as many candidate rows of one pair as it is
+    asked for, as rated item in as many as it has ratings.
     """
-    few = max(int(tuning.hot_keys**0.5), 1)
-    bounds: dict[tuple, int] = {}
-    for (t,), n_t in heapq.nlargest(few, targets.counts.items(), key=lambda kv: kv[1]):
-        for (i,), n_i in heapq.nlargest(few, items.counts.items(), key=lambda kv: kv[1]):
-            if t is None or i is None:
-                continue
-            pair = (min(t, i), max(t, i))
-            bounds[pair] = max(bounds.get(pair, 0), min(n_t, n_i))
-    return HotKeys(("item_a", "item_b"), bounds)
+    counts = {
+        k: max(targets.counts.get(k, targets.rest), items.counts.get(k, items.rest))
+        for k in {**targets.counts, **items.counts} if k[0] is not None
+    }
+    return HotKeys(("item",), counts, max(targets.rest, items.rest))
 
 
 class _Request:
@@ -109,40 +103,35 @@ class _Request:
         self.tuning, self.stage = tuning, stage
         self.ratings, self.pairs = ratings, pairs
         self.users, self.items = measure_hot(ratings, ["user_id"], ["business_id"], tuning=tuning)
-        self.pair_users, self.pair_items, self.pair_copies = measure_hot(
-            pairs, ["user_id"], ["business_id"], ["user_id", "business_id"], tuning=tuning
-        )
+        self.pair_users, self.pair_items = measure_hot(pairs, ["user_id"], ["business_id"], tuning=tuning)
         wanted = pairs.select("user_id", "business_id").distinct()
-        wanted = lookup_join(
-            wanted, base.business_means(ratings).drop("n_ratings"), ["business_id"],
-            hot=self.pair_items, spread=["user_id"], tuning=tuning,
+        self.wanted = stage(self.with_means(wanted), "wanted")
+        self.latest = stage(base.latest_ratings(ratings), "latest")
+
+    def with_means(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the means of their user and their business, NULL where unknown."""
+        rows = lookup_join(
+            rows, base.business_means(self.ratings).drop("n_ratings"), ["business_id"],
+            hot=self.pair_items, spread=["user_id"], tuning=self.tuning,
         )
-        wanted = lookup_join(
-            wanted, base.user_means(ratings).drop("n_ratings"), ["user_id"],
-            hot=self.pair_users, spread=["business_id"], tuning=tuning,
+        return lookup_join(
+            rows, base.user_means(self.ratings).drop("n_ratings"), ["user_id"],
+            hot=self.pair_users, spread=["business_id"], tuning=self.tuning,
         )
-        self.wanted = stage(wanted, "wanted")
-        self.latest = stage(base.latest_ratings(ratings), "latest")
 
     def candidates(self, measure: str, k: int, exclude_target: bool) -> DataFrame:
         history = self.latest
         columns = [F.col("user_id"), F.col("business_id").alias("item"), F.col("stars")]
         target_columns = [F.col("user_id"), F.col("business_id").alias("target")]
-        # Long histories are worth a look at how often their items are rated.
-        long = bool(self.users.splits(self.tuning.heavy_user))
-        if long or measure == "pearson":
-            history = lookup_join(
-                history, base.business_means(self.ratings), ["business_id"], "inner",
-                hot=self.items, spread=["user_id"], tuning=self.tuning,
-            )
-            columns += [F.col("business_mean").alias("item_mean"), F.col("n_ratings")]
-        history = history.select(*columns)
+        history = lookup_join(
+            history, base.business_means(self.ratings), ["business_id"], "inner",
+            hot=self.items, spread=["user_id"], tuning=self.tuning,
+        ).select(*columns, F.col("business_mean").alias("item_mean"), F.col("n_ratings"))
         if measure == "pearson":
             target_columns.append(F.col("business_mean").alias("target_mean"))
-            if long:
-                # too few ratings for co-raters to count: the mean decides
-                history = drop_hopeless(history, k, S.FEW_CO_RATERS, ["item_mean"])
-        elif long:
+            # too few ratings for co-raters to count: the mean decides
+            history = drop_hopeless(history, k, S.FEW_CO_RATERS, ["item_mean"])
+        else:
             # one rating: the only possible co-rater is the user, with cosine 1
             history = drop_hopeless(history.withColumn("_sign", F.signum("stars")), k, 1, ["_sign"])
         keep = ["user_id", "item", "stars"] + (["item_mean"] if measure == "pearson" else [])
@@ -182,10 +171,9 @@ class _Request:
         )
 
     def look_up(self, opened: DataFrame, sums: DataFrame, how: str) -> DataFrame:
-        return lookup_join(
-            opened, sums, ["item_a", "item_b"], how,
-            hot=_hot_item_pairs(self.pair_items, self.items, self.tuning),
-            spread=["user_id"], tuning=self.tuning,
+        bound = _item_bounds(self.pair_items, self.items)
+        return pair_lookup_join(
+            opened, sums, [bound.renamed("item_a"), bound.renamed("item_b")], how, spread=["user_id"], tuning=self.tuning
         )
 
     def answer(self, weighted: DataFrame, prediction) -> DataFrame:
@@ -194,10 +182,13 @@ class _Request:
         scored = self.wanted.join(keyed, ["user_id", "business_id"], "left").select(
             "user_id", "business_id", prediction.alias("prediction")
         )
-        return lookup_join(
-            self.pairs, scored, ["user_id", "business_id"], "left",
-            hot=self.pair_copies, tuning=self.tuning,
+        blank = F.col("user_id").isNull() | F.col("business_id").isNull()
+        whole = pair_lookup_join(
+            self.pairs.where(~blank), scored, [self.pair_users, self.pair_items], tuning=self.tuning
         )
+        # A blank id is an unknown user or business: the means decide.
+        rest = self.with_means(self.pairs.where(blank)).withColumn("weighted", F.lit(None).cast("double"))
+        return whole.unionByName(rest.select(*self.pairs.columns, prediction.alias("prediction")))
 
 
 def pearson_neighbours(

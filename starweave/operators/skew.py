@@ -1,9 +1,11 @@
 """Joins that keep working when one key holds a large part of the rows.
 
-Hot keys are measured with one partially aggregated pass.  At most
-``Tuning.hot_keys`` of them come to the driver and are broadcast again; they
-only choose a slot for each row, so a key missing from the list costs time,
-not rows.  Where nothing is hot the plain join is planned.
+Hot keys are measured with one partially aggregated pass.  For each key set
+at most ``Tuning.hot_keys`` of them come to the driver and are broadcast
+again.  A key that is not on the list has at most as many rows as the least
+key on it; all such keys are split as if they had that many.  So a list that
+is too short costs copies of the small side, never an unsplit hot key.  Where
+nothing needs splitting the plain join is planned.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from starweave.settings import DEFAULT_TUNING, Tuning
 
@@ -21,30 +23,40 @@ _N, _SPLITS = "_n", "_splits"
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The most frequent keys of a relation, with their row counts."""
+    """The most frequent keys of a relation, with their row counts.
+
+    ``rest`` is the most rows that a key outside the list may have, as far
+    as that matters for splitting.
+    """
 
     keys: tuple[str, ...]
     counts: dict[tuple, int] = field(default_factory=dict)
+    rest: int = 0
 
     def renamed(self, *keys: str) -> HotKeys:
-        return HotKeys(keys, self.counts)
+        return HotKeys(keys, self.counts, self.rest)
 
     def splits(self, rows_per_slot: int) -> dict[tuple, int]:
         """Number of slots for each key which needs more than one."""
         return {k: -(-n // rows_per_slot) for k, n in self.counts.items() if n > rows_per_slot}
 
+    def other_splits(self, rows_per_slot: int) -> int:
+        """Number of slots for each key outside the list."""
+        return max(1, -(-self.rest // rows_per_slot))
+
 
 def measure_hot(frame: DataFrame, *key_sets: Sequence[str], tuning: Tuning = DEFAULT_TUNING) -> list[HotKeys]:
-    """Hot keys for several key column sets, in one pass over ``frame``."""
+    """Hot keys for several key column sets, in one pass over ``frame``; each set has its own limit."""
     columns = list(dict.fromkeys(c for keys in key_sets for c in keys))
     narrow = frame.select(*columns)
     counted = narrow.groupingSets(
         [[F.col(c) for c in keys] for keys in key_sets], *[F.col(c) for c in columns]
     ).agg(F.count("*").alias(_N), F.grouping_id().alias("_set"))
+    # each task cuts its rows to the limit of a set before they are shuffled
+    place = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc(_N), *columns))
     found = (
         counted.where(F.col(_N) > tuning.hot_from)
-        .orderBy(F.desc(_N))
-        .limit(tuning.hot_keys * len(key_sets))
+        .withColumn("_place", place).where(F.col("_place") <= tuning.hot_keys)
         .collect()
     )
     result = []
@@ -52,12 +64,18 @@ def measure_hot(frame: DataFrame, *key_sets: Sequence[str], tuning: Tuning = DEF
         # grouping_id has a 1 bit for every column that is not in the set
         mask = int("".join("0" if c in keys else "1" for c in columns), 2)
         counts = {tuple(row[c] for c in keys): row[_N] for row in found if row["_set"] == mask}
-        result.append(HotKeys(tuple(keys), dict(list(counts.items())[: tuning.hot_keys])))
+        full = len(counts) >= tuning.hot_keys
+        result.append(HotKeys(tuple(keys), counts, min(counts.values()) if full and counts else 0))
     return result
 
 
-def _routed(frame: DataFrame, keys: Sequence[str], table: dict[tuple, tuple[int, ...]], names: Sequence[str]) -> DataFrame:
-    """Attach the slot counts of hot keys (1 for all others); no shuffle."""
+def _routed(
+    frame: DataFrame, keys: Sequence[str], table: dict[tuple, tuple[int, ...]], names: Sequence[str],
+    others: Sequence[int],
+) -> DataFrame:
+    """Attach the numbers of listed keys (``others`` for all the rest); no shuffle."""
+    if not table:
+        return frame.select("*", *[F.lit(o).cast("bigint").alias(n) for n, o in zip(names, others)])
     schema = T.StructType(
         [T.StructField(f"_k{i}", frame.schema[k].dataType) for i, k in enumerate(keys)]
         + [T.StructField(n, T.LongType()) for n in names]
@@ -69,7 +87,7 @@ def _routed(frame: DataFrame, keys: Sequence[str], table: dict[tuple, tuple[int,
         on = same if on is None else on & same
     joined = frame.join(F.broadcast(hot), on, "left")
     return joined.select(
-        *frame.columns, *[F.coalesce(F.col(n), F.lit(1).cast("bigint")).alias(n) for n in names]
+        *frame.columns, *[F.coalesce(F.col(n), F.lit(o).cast("bigint")).alias(n) for n, o in zip(names, others)]
     )
 
 
@@ -102,13 +120,51 @@ def lookup_join(
     """
     keys, route = list(keys), list(hot.keys)
     table = {k: (n,) for k, n in hot.splits(tuning.rows_per_slot).items()}
-    if not table:
+    other = hot.other_splits(tuning.rows_per_slot)
+    if not table and other == 1:
         return facts.join(dimension, keys, how)
-    left = _routed(facts, route, table, [_SPLITS]).withColumn(_SLOT, _slot_of(spread, _SPLITS)).drop(_SPLITS)
-    right = _routed(dimension, route, table, [_SPLITS]).withColumn(_SLOT, _all_slots(_SPLITS)).drop(_SPLITS)
+    left, right = (_routed(side, route, table, [_SPLITS], [other]) for side in (facts, dimension))
+    return _slotted(left, right, keys, how, spread)
+
+
+def _slotted(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Sequence[str]) -> DataFrame:
+    left = left.withColumn(_SLOT, _slot_of(spread, _SPLITS)).drop(_SPLITS)
+    right = right.withColumn(_SLOT, _all_slots(_SPLITS)).drop(_SPLITS)
     return left.join(right, [*keys, _SLOT], how).drop(_SLOT)
 
 
+def pair_lookup_join(
+    facts: DataFrame,
+    dimension: DataFrame,
+    bounds: Sequence[HotKeys],
+    how: str = "left",
+    *,
+    spread: Sequence[str] = (),
+    tuning: Tuning = DEFAULT_TUNING,
+) -> DataFrame:
+    """Lookup by a pair of keys of which only the single keys have been measured.
+
+    No pair has more rows than either of its keys, so the smaller count of
+    the two says into how many slots it goes; pairs are never counted or
+    listed.  Unlisted keys count with the most that they may have.
+    """
+    per_slot = tuning.rows_per_slot
+    keys = [b.keys[0] for b in bounds]
+    most = min(max([b.rest, *b.counts.values()]) for b in bounds)
+    if most <= per_slot:
+        return facts.join(dimension, keys, how)
+    names = ["_most_a", "_most_b"]
+
+    def with_splits(side: DataFrame) -> DataFrame:
+        columns = side.columns
+        for b, name in zip(bounds, names):
+            table = {k: (n,) for k, n in b.counts.items() if n > per_slot}
+            side = _routed(side, list(b.keys), table, [name], [max(b.rest, 1)])
+        return side.select(*columns, F.ceil(F.least(*names) / per_slot).cast("bigint").alias(_SPLITS))
+
+    return _slotted(with_splits(facts), with_splits(dimension), keys, how, spread)
+
+
 def grid_join(
     left: DataFrame,
     right: DataFrame,
@@ -126,18 +182,19 @@ def grid_join(
     ``grid_block`` rows on either side, so no task makes a whole product.
     """
     rows, cols = left_hot.splits(tuning.grid_block), right_hot.splits(tuning.grid_block)
-    table = {k: (rows.get(k, 1), cols.get(k, 1)) for k in {**rows, **cols} if k[0] is not None}
-    if not table:
+    others = [side.other_splits(tuning.grid_block) for side in (left_hot, right_hot)]
+    table = {k: (rows.get(k, others[0]), cols.get(k, others[1])) for k in {**rows, **cols} if k[0] is not None}
+    if not table and others == [1, 1]:
         return left.join(right, key)
     names = ["_rows", "_cols"]
     l = (
-        _routed(left, [key], table, names)
+        _routed(left, [key], table, names, others)
         .withColumn(_SLOT_L, _slot_of(left_spread, "_rows"))
         .withColumn(_SLOT_R, _all_slots("_cols"))
         .drop(*names)
     )
     r = (
-        _routed(right, [key], table, names)
+        _routed(right, [key], table, names, others)
         .withColumn(_SLOT_R, _slot_of(right_spread, "_cols"))
         .withColumn(_SLOT_L, _all_slots("_rows"))
         .drop(*names)

@@ -11,14 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
-def build_session(app: str = "starweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the plans are written for."""
+def build_session(
+    app: str = "starweave", master: str | None = None, shuffle_tasks: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the plans are written for.
+
+    ``shuffle_tasks`` is the number of tasks a shuffle starts with; adaptive
+    execution merges small ones but never cuts more.  Rule: bytes of the
+    largest shuffle divided by 128 MB, e.g. 800,000 for 100 TB.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
+    if shuffle_tasks:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_tasks))
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_tasks))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -49,13 +59,19 @@ def no_stage(frame: DataFrame, name: str) -> DataFrame:
     return frame
 
 
-def parquet_stage(spark: SparkSession) -> Stage:
-    """Write intermediate results once, as parquet in the shared folder.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of staged tables that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def parquet_stage(spark: SparkSession, folder: str | None = None) -> Stage:
+    """Write intermediate results once, as parquet in the shared folder (or in ``folder``).
 
     A written table survives the loss of executors, cuts the lineage, and
     keeps column pruning for its several readers.
     """
-    run = f"{shared_folder(spark).rstrip('/')}/starweave-{uuid.uuid4().hex}"
+    run = folder or f"{shared_folder(spark).rstrip('/')}/starweave-{uuid.uuid4().hex}"
 
     def stage(frame: DataFrame, name: str) -> DataFrame:
         path = f"{run}/{name}-{uuid.uuid4().hex[:8]}"

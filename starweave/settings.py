@@ -54,7 +54,8 @@ class Tuning:
     grid_block: int = 10_000
     # Most fact rows of one key that one slot of a lookup join may hold.
     rows_per_slot: int = 1_000_000
-    # Hard limit on the number of measured hot keys (they are broadcast).
+    # Most measured hot keys of a key set (they are broadcast); the others are
+    # split by the count of the least one.
     hot_keys: int = 10_000
     # Largest dictionary (rows) that is broadcast; larger ones are shuffled.
     broadcast_rows: int = 100_000

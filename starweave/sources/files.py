@@ -1,4 +1,9 @@
-"""CSV and JSON-lines readers, and the prediction writer."""
+"""CSV and JSON-lines readers, and the prediction writer.
+
+What is malformed is decided once, over the raw fields, in a filter that is
+part of every read.  So which rows there are, and whether a read fails, does
+not depend on the columns that a plan happens to use.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from starweave.sources import schemas
 
 _BAD = "_bad_record"
+MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
+
+
+def _checked(frame: DataFrame, bad: Column, shown: Column, what: str, mode: str) -> DataFrame:
+    """Fail at, drop or keep the rows that are ``bad``."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "PERMISSIVE":
+        return frame
+    if mode == "DROPMALFORMED":
+        return frame.where(~bad)
+    raised = F.raise_error(F.concat(F.lit(f"malformed {what}: "), F.coalesce(shown, F.lit("NULL"))))
+    return frame.where(F.when(bad, raised.cast("boolean")).otherwise(F.lit(True)))
 
 
 def read_ratings(spark: SparkSession, path, mode: str = "FAILFAST", with_order: bool = True) -> DataFrame:
-    """Ratings CSV with a header in each file.
+    """Ratings CSV with a header in each file: the first three columns, whatever follows them.
+
+    A row whose third field is no number is malformed: an error, dropped, or
+    kept with NULL, by ``mode``.
 
     ``with_order`` adds ``rated_at``, the position of the row in its input
     (file, block, row within the block), so that "the last duplicate wins" is
     a property of the data and not of how tasks were scheduled.
     """
-    frame = spark.read.schema(schemas.RATING).option("header", True).option("mode", mode).csv(path)
-    if not with_order:
-        return frame
-    return frame.select(*schemas.RATING.names, _position().alias("rated_at"))
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if len(raw.columns) < 3:
+        raise ValueError(f"a ratings file has three columns at least, not {raw.columns}")
+    user, business, stars = (F.col(f"`{c}`") for c in raw.columns[:3])
+    number = stars.try_cast("double")
+    shown = F.concat_ws(",", user, business, stars)
+    frame = _checked(raw, number.isNull(), shown, "rating", mode)
+    columns = [user.alias("user_id"), business.alias("business_id"), number.alias("stars")]
+    return frame.select(*columns, *([_position().alias("rated_at")] if with_order else []))
 
 
 def _position() -> Column:
@@ -32,36 +58,26 @@ def _position() -> Column:
 
 
 def read_pairs(spark: SparkSession, path) -> DataFrame:
-    """Pairs to predict: the first two columns of a CSV with a header."""
+    """Pairs to predict: the first two columns of a CSV with a header; a blank id is NULL."""
     frame = spark.read.option("header", True).csv(path)
     first, second = frame.columns[:2]
-    return frame.select(F.col(first).alias("user_id"), F.col(second).alias("business_id"))
+    return frame.select(F.col(f"`{first}`").alias("user_id"), F.col(f"`{second}`").alias("business_id"))
 
 
 def _read_json(spark: SparkSession, path, schema: T.StructType, key: str, mode: str) -> DataFrame:
     """JSON lines; a ``null`` line is legal and dropped, a broken one is not.
 
-    ``read_at`` is the position of the record, to tell which duplicate is last.
+    Every line is parsed with all fields, so that a bad field counts whether
+    it is used or not.  ``read_at`` is the position of the record, to tell
+    which duplicate is last.
     """
     wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    frame = (
-        spark.read.schema(wide)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .json(path)
-    )
-    broken = F.col(_BAD).isNotNull() & (F.trim(F.col(_BAD)) != "null")
-    if mode == "FAILFAST":
-        # Raised inside the key column, which every later plan reads.
-        checked = F.when(
-            broken, F.raise_error(F.concat(F.lit("malformed JSON record: "), F.col(_BAD))).cast("string")
-        ).otherwise(F.col(key))
-        frame = frame.withColumn(key, checked)
-    elif mode == "DROPMALFORMED":
-        frame = frame.where(~F.coalesce(broken, F.lit(False)))
-    elif mode != "PERMISSIVE":
-        raise ValueError(f"unknown mode {mode!r}")
-    return frame.withColumn("read_at", _position()).drop(_BAD).where(F.col(key).isNotNull())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = spark.read.text(path).where(~F.trim("value").isin("null", ""))
+    parsed = lines.select("value", F.from_json("value", wide, options).alias("record"), _position().alias("read_at"))
+    frame = _checked(parsed, F.col(f"record.{_BAD}").isNotNull(), F.col("value"), "JSON record", mode)
+    fields = [F.col(f"record.{f.name}").alias(f.name) for f in schema.fields]
+    return frame.select(*fields, "read_at").where(F.col(key).isNotNull())
 
 
 def read_businesses(spark: SparkSession, path, mode: str = "FAILFAST") -> DataFrame:

@@ -13,7 +13,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -49,12 +49,14 @@ def check(spark, con, query, sql, folder):
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
+    import tempfile
+
     from starweave.session import build_session
 
     folder, names = sys.argv[1], sys.argv[2:]
     spark = build_session(
         "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="compare-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles = connect(folder), entry.oracle_sql()

@@ -231,3 +231,25 @@ def test_properties(spark, rows):
         assert abs(row["similarity"]) <= 1 + 1e-12
     for row in Z.similarities(wanted, ratings, "cosine").collect():
         assert 0 <= row["similarity"] < 1
+
+
+@pytest.mark.parametrize("how", [N.predict_pearson, N.predict_cosine])
+def test_blank_ids_are_unknown(spark, golden, how):
+    pairs = spark.createDataFrame([("u1", None), (None, "b1"), (None, None), ("u1", None), ("u1", "b3")], PAIR)
+    got = sorted(map(tuple, how(golden, pairs).select("user_id", "business_id", "prediction").collect()), key=str)
+    mean = {r["user_id"]: r["m"] for r in golden.groupBy("user_id").agg(F.avg("stars").alias("m")).collect()}["u1"]
+    item = {r["business_id"]: r["m"] for r in golden.groupBy("business_id").agg(F.avg("stars").alias("m")).collect()}["b1"]
+    blank = {row[:2]: row[2] for row in got if None in row[:2]}
+    if how is N.predict_pearson:
+        assert blank == {("u1", None): pytest.approx(mean), (None, "b1"): 3.45, (None, None): 3.45}
+    else:
+        assert blank == {k: pytest.approx(v) for k, v in {
+            ("u1", None): (mean + 3.45) / 2, (None, "b1"): (3.45 + item) / 2, (None, None): 3.45}.items()}
+    assert len(got) == 5 and all(row[2] is not None for row in got)
+
+
+def test_only_ratings_of_popular_items_are_used(golden):
+    popular, few = Z.ratings_of_popular(golden, 2)
+    top = [r["business_id"] for r in popular.collect()]
+    assert top == [r["business_id"] for r in R.most_popular(golden, 2).collect()]
+    assert sorted(r[0] for r in few.select("business_id").distinct().collect()) == sorted(top)

@@ -93,3 +93,18 @@ def test_selector_learns(spark):
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_evaluate_and_options(spark, inputs, tmp_path):
+    folder, asked = inputs
+    predicted, out = str(tmp_path / "p"), str(tmp_path / "e")
+    run.main(["cf", "--train", f"{folder}/train.csv", "--pairs", f"{folder}/val.csv", "--out", predicted, "--neighbours", "3"], spark=spark)
+    run.main(["evaluate", "--predictions", predicted, "--pairs", f"{folder}/train.csv", "--out", out], spark=spark)
+    rmse = spark.read.option("header", True).csv(f"{out}/rmse").first()
+    buckets = spark.read.option("header", True).csv(f"{out}/errors").collect()
+    assert int(rmse["n"]) == sum(int(r["n"]) for r in buckets)
+    with pytest.raises(SystemExit):
+        run.main(["features", "--train", "x", "--pairs", "y", "--out", "z"], spark=spark)
+    args = run._arguments(["features", "--train", "x", "--pairs", "y", "--out", "z", "--users", "u", "--businesses", "b",
+                           "--trees", "7", "--max-depth", "3", "--features", "4"])
+    assert run._options(args) == {"profile": S.BoostingProfile(3, 0.051, 7, 0.8, 0.5, 60), "n_features": 4}

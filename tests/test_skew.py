@@ -66,3 +66,43 @@ def test_nothing_hot_plans_the_plain_join(facts):
     assert hot.counts == {}
     joined = K.lookup_join(facts, facts.select("k").distinct(), ["k"], hot=hot)
     assert joined.columns == ["k", "v"]
+
+
+def test_each_key_set_has_its_own_limit(spark):
+    """Many hot items do not crowd out the one hot user."""
+    rows = [("hotuser", f"i{n}") for n in range(30)] + [(f"u{n}", f"big{n % 8}") for n in range(800)]
+    frame = spark.createDataFrame(rows, "u string, i string")
+    users, items = K.measure_hot(frame, ["u"], ["i"], tuning=Tuning(heavy_user=5, grid_block=5, rows_per_slot=5, hot_keys=3))
+    assert users.counts == {("hotuser",): 30} and users.rest == 0
+    assert len(items.counts) == 3 and set(items.counts.values()) == {100} and items.rest == 100
+
+
+def _cells(frame, key, names):
+    return frame.groupBy(key, *names).count().agg(F.max("count")).first()[0]
+
+
+def test_more_hot_keys_than_the_list_holds_are_all_split(spark, monkeypatch):
+    frame = spark.range(2400).select((F.col("id") % 6).cast("string").alias("k"), F.col("id").alias("v"))
+    tuning = Tuning(heavy_user=10, grid_block=10, rows_per_slot=10, hot_keys=2)
+    (hot,) = K.measure_hot(frame, ["k"], tuning=tuning)
+    assert len(hot.counts) == 2 and hot.rest == 400 and hot.other_splits(10) == 40
+    dimension = frame.select("k").distinct().withColumn("d", F.upper("k"))
+    joined = K.lookup_join(frame, dimension, ["k"], hot=hot, spread=["v"], tuning=tuning)
+    assert rows(joined.select("k", "v", "d")) == rows(frame.join(dimension, "k").select("k", "v", "d"))
+    slotted = K._routed(frame, ["k"], {}, ["_splits"], [40]).withColumn("slot", K._slot_of(["v"], "_splits"))
+    assert _cells(slotted, "k", ["slot"]) < 40  # ten on average, never a whole key
+    grid = K.grid_join(frame, frame.withColumnRenamed("v", "w").where("w < 60"), "k", left_hot=hot, right_hot=hot,
+                       left_spread=["v"], right_spread=["w"], tuning=tuning)
+    assert grid.count() == 2400 * 10
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_pair_lookup_bounds_pairs_by_their_keys(spark, how):
+    facts = spark.range(900).select(
+        (F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 2).cast("string").alias("b"), F.col("id").alias("v")
+    )
+    dimension = facts.select("a", "b").distinct().where("a <> '2' or b <> '1'").withColumn("d", F.concat("a", "b"))
+    tuning = Tuning(heavy_user=10, grid_block=10, rows_per_slot=10, hot_keys=1)
+    bounds = K.measure_hot(facts, ["a"], ["b"], tuning=tuning)
+    joined = K.pair_lookup_join(facts, dimension, bounds, how, spread=["v"], tuning=tuning)
+    assert rows(joined.select("a", "b", "v", "d")) == rows(facts.join(dimension, ["a", "b"], how).select("a", "b", "v", "d"))

@@ -32,9 +32,39 @@ def test_malformed_rating(spark, tmp_path):
     path = write(tmp_path / "a.csv", "user_id,business_id,stars\nu1,b1,4\nu2,b2,many\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         files.read_ratings(spark, path).collect()
-    assert files.read_ratings(spark, path, "DROPMALFORMED").select("user_id", "stars").count() >= 1
+    assert files.read_ratings(spark, path, "DROPMALFORMED").select("user_id", "stars").count() == 1
     rows = files.read_ratings(spark, path, "PERMISSIVE").collect()
     assert [r["stars"] for r in rows] == [4.0, None]
+    with pytest.raises(ValueError):
+        files.read_ratings(spark, path, "LENIENT")
+
+
+@pytest.mark.parametrize("mode, expected", [("FAILFAST", None), ("DROPMALFORMED", 2), ("PERMISSIVE", 3)])
+def test_rows_do_not_depend_on_the_columns_read(spark, tmp_path, mode, expected):
+    ratings = write(tmp_path / "a.csv", "user_id,business_id,stars,text\nu1,b1,4,x\nu2,b2,many,y\nu3,b3,2,z\n")
+    users = write(tmp_path / "u.json", '{"user_id": "u1", "fans": 3}\n{"user_id": "u2", "fans": "many"}\n{"user_id": "u3"}\nnull\n')
+    reads = [lambda: files.read_ratings(spark, ratings, mode), lambda: files.read_users(spark, users, mode)]
+    views = [lambda f: f.collect(), lambda f: f.select("user_id").distinct().collect(), lambda f: [None] * f.count()]
+    for read in reads:
+        for view in views:
+            if expected is None:
+                with pytest.raises(Exception, match="(?i)malformed"):
+                    view(read())
+            else:
+                assert len(view(read())) == expected
+
+
+@pytest.mark.parametrize("mode", ["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
+def test_further_columns_are_ignored(spark, tmp_path, mode):
+    path = write(tmp_path / "a.csv", "who,what,how much,when,a.b\nu1,b1,4,2001,x\nu2,b2,5,2002,y\n")
+    got = files.read_ratings(spark, path, mode, with_order=False)
+    assert sorted(map(tuple, got.collect())) == [("u1", "b1", 4.0), ("u2", "b2", 5.0)] and got.schema == schemas.RATING
+
+
+def test_records_with_maps_have_a_greatest(spark):
+    rows = [("b1", {"Fri-0": 2}), ("b1", {"Fri-0": 3}), ("b2", None)]
+    one = one_per_key(spark.createDataFrame(rows, schemas.CHECKIN), "business_id")
+    assert {r["business_id"]: r["time"] for r in one.collect()} == {"b1": {"Fri-0": 3}, "b2": None}
 
 
 def test_pairs_ignore_further_columns(spark, tmp_path):
