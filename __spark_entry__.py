@@ -59,9 +59,10 @@ def _feature_table(spark, sf):
 
 def _train_features(spark, sf):
     # Shown to six digits, so that both engines correlate the same numbers.
-    return rounded(X.feature_table(
+    table = rounded(X.feature_table(
         T.train_ratings(spark, sf).select(*PAIR, "stars"), T.users(spark, sf), T.businesses(spark, sf)
     ))
+    return parquet_stage(spark)(table, "train-features")
 
 
 def _hybrid_table(spark, sf):
@@ -199,7 +200,8 @@ def _impute(spark, sf):
 def _fitted(spark, sf):
     train = _train_features(spark, sf)
     names = X.category_columns(train, jobs.FEATURES)
-    return train, names, E.fit_ordinal(train, names)
+    entities = X.entity_rows(T.train_ratings(spark, sf), T.users(spark, sf), T.businesses(spark, sf))
+    return train, names, E.fit_ordinal(train, names, entities=entities)
 
 
 def _dictionary(spark, sf):

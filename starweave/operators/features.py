@@ -122,6 +122,17 @@ def feature_table(
     return joined.select(*rows.columns, *USER_BASIC, *BUSINESS_WIDE)
 
 
+def entity_rows(rows: DataFrame, users: DataFrame, businesses: DataFrame) -> list[DataFrame]:
+    """The features of :func:`feature_table`, one row for each user and each business of ``rows``.
+
+    An unknown one has NULLs, as in the table, so both hold the same values.
+    """
+    return [
+        rows.select("user_id").distinct().join(user_basic(users), "user_id", "left"),
+        rows.select("business_id").distinct().join(business_wide(businesses), "business_id", "left"),
+    ]
+
+
 HYBRID_FEATURES = (*USER_ENGAGEMENT, *BUSINESS_NARROW, "checkin_total", "cf_prediction")
 
 

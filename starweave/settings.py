@@ -57,8 +57,10 @@ class Tuning:
     # Most measured hot keys of a key set (they are broadcast); the others are
     # split by the count of the least one.
     hot_keys: int = 10_000
-    # Largest dictionary (rows) that is broadcast; larger ones are shuffled.
+    # Largest dictionary (rows, bytes of values) that is broadcast; larger ones
+    # are shuffled.
     broadcast_rows: int = 100_000
+    broadcast_bytes: int = 8 << 20
 
     @property
     def hot_from(self) -> int:

@@ -151,3 +151,33 @@ def test_choosing_between_predictions(spark):
     classes = spark.createDataFrame([("u", "a", 0), ("u", "c", 1), ("u", "z", 1)], "user_id string, business_id string, closer int")
     chosen = {r["business_id"]: r["prediction"] for r in V.choose(V.combine(first, second), classes).collect()}
     assert chosen == {"a": 3.0, "c": 2.0}
+
+
+def test_dictionary_of_entities_equals_that_of_the_rows(spark):
+    users = spark.createDataFrame([("u1", 3, "2010-01-01", 4.0), ("u2", 1, None, 2.0), ("u9", 1, "2011", 2.0)],
+                                  "user_id string, review_count long, yelping_since string, average_stars double")
+    businesses = spark.createDataFrame([("b1", "p1", 4.0, 1, 1, None)], schemas.BUSINESS)
+    rows = spark.createDataFrame([("u1", "b1", 5.0), ("u2", "b1", 3.0), ("u3", "b2", 1.0)], "user_id string, business_id string, stars double")
+    table = X.feature_table(rows, users, businesses)
+    names = X.category_columns(table, (*X.USER_BASIC, *X.BUSINESS_WIDE))
+    plain = E.fit_ordinal(table, names)
+    fitted = E.fit_ordinal(table, names, entities=X.entity_rows(rows, users, businesses))
+    show = lambda d: sorted(map(tuple, d.frame.collect()))
+    assert show(fitted) == show(plain) and fitted.sizes == plain.sizes and fitted.widths == plain.widths
+    assert ("yelping_since", "2010-01-01", 0.0) in show(fitted) and ("yelping_since", "2011", 1.0) not in show(fitted)
+    assert ("NoiseLevel", "missing", 0.0) in show(fitted)
+
+
+def test_no_category_column_gives_an_empty_dictionary(spark):
+    frame = spark.createDataFrame([(1.0,)], "x double")
+    fitted = E.fit_ordinal(frame, [])
+    assert fitted.frame.count() == 0 and fitted.sizes == {}
+    assert E.encode(frame, ["x"], fitted).collect()[0]["x"] == 1.0
+
+
+def test_wide_dictionaries_are_not_broadcast(spark):
+    frame = spark.createDataFrame([("a" * 40,), ("b" * 40,), (None,)], "x string")
+    fitted = E.fit_ordinal(frame, ["x"])
+    for most in (10, 1000):
+        coded = E.apply_ordinal(frame, fitted, ["x"], tuning=Tuning(broadcast_bytes=most, heavy_user=1, grid_block=1, rows_per_slot=1))
+        assert sorted(r["x"] for r in coded.collect()) == [0.0, 1.0, 2.0]
