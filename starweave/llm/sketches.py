@@ -19,8 +19,8 @@ from starweave.llm.common import staged
 BASE_SLOTS, LARGER_SLOTS = 8, (6, 24, 128)
 #: Digests of both versions in one group of a larger sketch, on average; rounds of peeling, by size.
 GROUP_KEYS, ROUNDS = 5, {8: 8, 6: 5, 24: 10, 128: 20}
-#: Paragraphs are lines, and sentences within them.
-PARAGRAPH = r"[\n.!?]+"
+#: Paragraphs are lines; a long line is cut after every third sentence.
+PARAGRAPH = r"(?:[^.!?\n]++[.!?]*+){1,3}"
 
 
 
@@ -47,12 +47,15 @@ def _digest(*parts: Column) -> Column:
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Digests of the paragraphs, without the marks that end them and space around them.
+    """Digests of the paragraphs, without space around them.
 
     The n-th copy of a paragraph has a digest of its own, so that numbers of
     copies count.  Blank paragraphs are left out; null is the empty text.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(
+        F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda x: F.trim(x)),
+        lambda x: x != "",
+    )
     ordered = F.sort_array(F.transform(lines, lambda x: F.xxhash64(F.lit("paragraph"), x)))
 
     def numbered(all_: Column) -> Column:
