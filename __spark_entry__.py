@@ -260,6 +260,13 @@ def _selector_model(spark, sf):
     )
 
 
+def _scored_rows(model) -> Query:
+    """Which requested rows a model answers with a number between the stars, give or take one."""
+    def query(spark, sf):
+        return model(spark, sf).select(*PAIR, F.col("prediction").between(0.0, 6.0).alias("scored"))
+    return query
+
+
 def _written(frame: DataFrame, kind: str) -> str:
     """The frame as files of that kind in the shared folder, with one more column; their path."""
     path = f"{shared_folder(frame.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -377,6 +384,10 @@ _QUERIES: dict[str, Query] = {
     "gbt_feature_model": _feature_model,
     "gbt_hybrid_model": _hybrid_model,
     "gbt_selector_model": _selector_model,
+    # the same models under SQL: every requested row is answered
+    "gbt_feature_model_scored": _scored_rows(_feature_model),
+    "gbt_hybrid_model_scored": _scored_rows(_hybrid_model),
+    "gbt_selector_model_scored": _scored_rows(_selector_model),
 }
 
 

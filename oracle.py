@@ -355,6 +355,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, business_id, {_ROUNDED} FROM holdout JOIN predicted USING (user_id, business_id)""",
         "predict_cosine_cf": _cf("cosine", "holdout", 15) + f"""
             SELECT user_id, business_id, {_ROUNDED} FROM holdout JOIN predicted USING (user_id, business_id)""",
+        "gbt_feature_model_scored": raw + " SELECT user_id, business_id, true AS scored FROM holdout",
+        "gbt_hybrid_model_scored": raw + " SELECT user_id, business_id, true AS scored FROM holdout",
+        "gbt_selector_model_scored": raw + " SELECT DISTINCT user_id, business_id, true AS scored FROM holdout",
         "predictions_round_trip": raw + " SELECT user_id, business_id, stars AS prediction FROM raw",
         "predict_pearson_cf_blank_ids": _blank_ids("coalesce(um.user_mean, 3.45e0)"),
         "predict_cosine_cf_blank_ids": _blank_ids("(coalesce(um.user_mean, 3.45e0) + coalesce(im.item_mean, 3.45e0)) / 2"),
