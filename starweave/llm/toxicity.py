@@ -8,6 +8,7 @@ document counts in the classes do not differ significantly have no weight.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,9 @@ from starweave.llm.common import blocks, list_column, text_bytes
 from starweave.llm.labelled import labelled_texts, sigmoid_score
 
 #: Labelled rows that are learnt from at most; lengths of n-grams; bits of a bucket number.
-TRAINING_ROWS, LENGTHS, BITS = 20_000, (3, 4, 5, 6), 20
+TRAINING_ROWS, LENGTHS, BITS = 12_000, (3, 4, 5, 6), 20
+#: Bytes of documents whose n-grams are held at once; a longer document stands alone.
+BLOCK = 1 << 17
 #: Standard deviations between the classes' shares below which an n-gram has no weight; most n-grams with weight.
 SIGNIFICANT, MOST = 5.0, 4096
 THRESHOLD = 0.7
@@ -33,34 +36,34 @@ class Model(NamedTuple):
     bias: float
 
 
-def gram_buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of a block's documents, and where each starts; none crosses documents."""
+def gram_buckets(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length the buckets of all n-grams of a block's documents, and where each starts; none crosses documents."""
     low = _LOWER[data]
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    key = np.zeros(len(low), np.uint32)
-    buckets, starts = [], []
+    edge = np.zeros(len(low) + 1, bool)
+    edge[bounds] = True
+    key, inside = np.zeros(len(low), np.uint32), np.ones(len(low), bool)
     for n in range(1, max(LENGTHS) + 1):
         if len(low) < n:
-            break
-        key = key[: len(low) - n + 1] * np.uint32(0x01000193) + low[n - 1 :] + np.uint32(1)
+            return
+        size = len(low) - n + 1
+        key = key[:size] * np.uint32(0x01000193) + low[n - 1 :] + np.uint32(1)
+        inside = inside[:size] & ~edge[n - 1 : n - 1 + size] if n > 1 else inside
         if n in LENGTHS:
             mixed = (key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n * 0x27D4EB2F)
-            at = np.flatnonzero(end[: len(key)] >= np.arange(len(key)) + n)
-            buckets.append(((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))[at])
-            starts.append(at)
-    if not buckets:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(starts)
+            at = np.flatnonzero(inside)
+            yield ((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))[at], at
 
 
 def _presences(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, bucket) of a block; only buckets with ``wanted`` set."""
-    bucket, start = gram_buckets(data, bounds)
-    if wanted is not None:
-        keep = wanted[bucket]
-        bucket, start = bucket[keep], start[keep]
-    doc = np.searchsorted(bounds, start, "right") - 1
-    pairs = np.unique((doc.astype(np.int64) << BITS) | bucket)
+    parts = []
+    for bucket, start in gram_buckets(data, bounds):
+        if wanted is not None:
+            keep = np.flatnonzero(wanted[bucket])
+            bucket, start = bucket[keep], start[keep]
+        doc = np.searchsorted(bounds, start, "right") - 1
+        parts.append(np.unique((doc << BITS) | bucket))
+    pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -73,7 +76,7 @@ def _class_counts(sample: DataFrame) -> np.ndarray:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in blocks(bounds, 1 << 20):
+            for a, b in blocks(bounds, BLOCK):
                 doc, bucket = _presences(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], None)
                 for c in (0, 1):
                     counts[c, :size] += np.bincount(bucket[y[doc + a] == c], minlength=size)
@@ -85,25 +88,26 @@ def _class_counts(sample: DataFrame) -> np.ndarray:
     rows = (
         sample.select("text", "y").mapInArrow(run, "b long, n0 long, n1 long")
         .groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where(F.col("n0") + F.col("n1") > 2).toPandas()
+        .where(F.col("n0") + F.col("n1") > 2).toArrow()
     )
-    counts = np.zeros((2, size + 1))
-    counts[:, rows["b"].to_numpy(int)] = rows[["n0", "n1"]].to_numpy().T
+    counts = np.zeros((2, size + 1), np.float32)
+    counts[:, rows["b"].to_numpy()] = [rows["n0"].to_numpy(), rows["n1"].to_numpy()]
     return counts
 
 
-def _logistic(x: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights for presences scaled by ``ratio``: Adam on the full batch."""
-    row = np.repeat(np.arange(len(x)), [len(i) for i in x])
-    column = np.concatenate(x) if x else np.zeros(0, np.int64)
-    value = ratio[column]
+def _logistic(
+    column: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-4
+) -> tuple[np.ndarray, float]:
+    """Weights for presences scaled by ``ratio``: Adam on the full batch.  Rows have ``sizes`` columns each."""
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    value = ratio[column].astype(np.float32)
     w, share = np.zeros(len(ratio)), min(max(y.mean(), 1e-3), 1 - 1e-3)
     theta = np.concatenate([w, [np.log(share / (1 - share))]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = np.bincount(row, value * theta[column], minlength=len(y)) + theta[-1]
+        z = np.bincount(row, value * theta.astype(np.float32)[column], minlength=len(y)) + theta[-1]
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(column, value * off[row], minlength=len(ratio)) + penalty * theta[:-1], off.sum())
+        grad = np.append(np.bincount(column, value * off.astype(np.float32)[row], minlength=len(ratio)) + penalty * theta[:-1], off.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
@@ -137,7 +141,7 @@ def train(sample: DataFrame) -> Model:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
             docs, buckets = [], []
-            for a, b in blocks(bounds, 1 << 20):
+            for a, b in blocks(bounds, BLOCK):
                 d, k = _presences(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], wanted)
                 docs.append(d + a)
                 buckets.append(k)
@@ -146,9 +150,12 @@ def train(sample: DataFrame) -> Model:
             lists = list_column(pa.array(place[k].astype(np.int32)), np.bincount(d, minlength=len(batch)))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "x array<int>, y int").collect()
+    rows = sample.select("text", "y").mapInArrow(run, "x array<int>, y int").toArrow().combine_chunks()
     sample.unpersist()
-    weights, bias = _logistic([np.array(r["x"], np.int64) for r in rows], ratio, np.array([r["y"] for r in rows], float))
+    lists = rows.column(0).combine_chunks()
+    weights, bias = _logistic(
+        lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), ratio, rows.column(1).to_numpy().astype(float)
+    )
     table = np.zeros(size, np.float32)
     table[chosen] = weights * ratio
     return Model(table, bias)
@@ -161,7 +168,7 @@ def scorer(model: Model):
     def score(column: pa.Array) -> np.ndarray:
         data, bounds = text_bytes(column)
         out = np.full(len(column), model.bias)
-        for a, b in blocks(bounds, 1 << 20):
+        for a, b in blocks(bounds, BLOCK):
             doc, bucket = _presences(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], wanted)
             out[a:b] += np.bincount(doc, model.weight[bucket], minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
