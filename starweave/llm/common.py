@@ -49,8 +49,9 @@ def bounded_sample(frame: DataFrame, id_col: str, bound: int) -> DataFrame:
     key = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
     n = frame.count()
     if n > bound:
-        share = min(1.0, 1.2 * bound / n + 1e-6)
-        frame = frame.where(key < F.lit(int((2 * share - 1) * ((1 << 63) - 1))))
+        share = 1.2 * bound / n + 1e-6
+        if share < 1:
+            frame = frame.where(key < F.lit(int(share * (1 << 64)) - (1 << 63)))
     return frame.orderBy(key, id_col).limit(bound)
 
 
