@@ -13,6 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from starweave.llm.common import staged
+
 # Wording of public licence notices.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -140,7 +142,7 @@ def scan_licences(
     """
     own = own_licences(files, path_col, text_col, templates, threshold)
     sizes = files.select(F.col(path_col).alias("path"), F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).alias("size"))
-    listed = sizes.groupBy("path").agg(F.sum("size").alias("size")).join(own, "path", "left")
+    listed = staged(sizes.groupBy("path").agg(F.sum("size").alias("size")).join(own, "path", "left"), "listed")
     directory = F.expr("substring_index(path, '/', size(split(path, '/')) - 1)")
     given = (
         listed.where(F.col("licence").isNotNull() & (F.col("size") <= file_chars) & F.col("path").contains("/"))
