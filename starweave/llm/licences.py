@@ -32,8 +32,8 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Cosine at least; characters of a licence file at most; share of documents from which on a template's word says nothing alone.
-THRESHOLD, FILE_CHARS, COMMON = 0.7, 600, 0.05
+#: Cosine at least; characters of a licence file at most.
+THRESHOLD, FILE_CHARS = 0.7, 600
 #: What parts passages, and what parts words after A-Z became a-z.
 PASSAGES, WORDS = r"\n|[.!?]+ ", "[^a-z0-9]+"
 
@@ -73,22 +73,48 @@ def template_weights(texts: DataFrame, templates: dict[str, str]) -> tuple[DataF
     return frame.withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0), math.log((1.0 + n) / 2.0) + 1.0
 
 
+def _within_reach(words: Column, idf: dict[str, float], other: float, threshold: float) -> Column:
+    """Whether a passage's words allow a cosine of the threshold to any template.
+
+    No cosine is above the share that the template words have in the
+    passage's norm.  Every further word adds the square of ``other`` at
+    least, so a passage left out cannot reach the threshold.
+    """
+    least = max(0.0, min(threshold, 1.0) - 1e-6)  # scores are rounded
+    each = least**2 / (1 - least**2) * other**2
+    weights = F.create_map(*[F.lit(x) for item in sorted(idf.items()) for x in item])
+
+    def reached(all_: Column, known: Column) -> Column:
+        inside = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda s, w: s + F.pow(
+            F.size(F.filter(known, lambda x: x == w)) * weights[w], F.lit(2.0)
+        ))
+        return (F.size(known) > 0) & (inside >= each * (F.size(all_) - F.size(known)))
+
+    return _let(words, lambda all_: _let(
+        F.filter(all_, lambda w: w.isin(*sorted(idf))), lambda known: reached(all_, known)
+    ))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def own_licences(
     files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``path, licence, score`` of the files with a passage like a template: the likeliest template.
 
-    A passage is looked at if it has a word of the templates that less than
-    ``COMMON`` of all files have; the words that more files have are too
-    light to reach the threshold without one.  Equal scores go to the
-    template first by name.  Null texts have no passage; rows that repeat a
-    path count as one file with all their passages.
+    Every passage is scored that can reach the threshold by the share of
+    template words in its norm, however many files have these words.  Equal
+    scores go to the template first by name.  Null texts have no passage;
+    rows that repeat a path count as one file with all their passages.
     """
     templates = templates or TEMPLATES
     texts = files.select(F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
     idf, other = template_weights(texts, templates)
-    rare = [r["word"] for r in idf.where(F.col("df") < F.greatest(F.lit(2.0), COMMON * F.col("n"))).collect()]
+    known = {r["word"]: r["idf"] for r in idf.collect()}
     vectors = _template_words(files.sparkSession, templates).join(F.broadcast(idf), "word").select(
         "template", "word", (F.col("tf") * F.col("idf")).alias("weight")
     )
@@ -97,7 +123,7 @@ def own_licences(
     passages = (
         texts.select("path", F.explode(F.split("text", PASSAGES)).alias("passage"))
         .select("path", words(F.col("passage")).alias("words"))
-        .where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare]).cast("array<string>")))
+        .where(_within_reach(F.col("words"), known, other, threshold))
         .withColumn("passage", F.struct(F.xxhash64("words"), F.md5(F.array_join("words", " "))))
     )
     terms = passages.select("path", "passage", F.explode("words").alias("word")).groupBy("path", "passage", "word").agg(

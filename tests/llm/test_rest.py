@@ -30,6 +30,17 @@ def test_licences_are_found_and_inherited(spark):
     }
 
 
+def test_notices_that_many_files_share_are_found(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(f"d{i}/f", [mit, apache, "no notice"][i % 3] + f"\nbody {i} of its own words") for i in range(60)]
+    rows.append(("d0/e/x", "nothing"))
+    got = {r["path"]: r for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for i in range(60):
+        r = got[f"d{i}/f"]
+        assert (r["licence"], r["score"], r["origin"]) == [("MIT", 1.0, "own"), ("Apache-2.0", 1.0, "own"), (None, None, "none")][i % 3]
+    assert (got["d0/e/x"]["licence"], got["d0/e/x"]["origin"], got["d0/e/x"]["directory"]) == ("MIT", "inherited", "d0")
+
+
 def test_mix_meets_budgets_and_reshares(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)  # many ranges in a source
     rows = [(i, "w " * (1 + i % 9), "hot") for i in range(300)] + [(1000 + i, "w w w", "tiny") for i in range(3)] + [(2000 + i, "x y", None) for i in range(40)]
