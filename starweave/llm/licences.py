@@ -1,9 +1,10 @@
 """Licence scan: TF-IDF cosine of passages to templates, inherited along directories.
 
 Passages (lines and sentences) and templates become sparse vectors over
-words.  The best template above a threshold is a file's own licence; a
-licence file gives its directory a licence, and files without their own take
-that of the nearest ancestor directory that has one.  All of it is DataFrame
+words.  The best template above a threshold is a file's own licence; a text
+that is a whole licence text, by cosine of its set of words, has that
+licence.  A licence file gives its directory a licence, and files without
+their own take that of the nearest ancestor directory that has one.  All of it is DataFrame
 operations; nothing leaves the JVM.
 """
 
@@ -14,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from starweave.llm.common import staged
+from starweave.llm.licence_texts import FULL_TEXTS
 
 # Wording of public licence notices.
 TEMPLATES = {
@@ -32,8 +34,10 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Cosine at least; characters of a licence file at most.
-THRESHOLD, FILE_CHARS = 0.7, 600
+#: Cosine at least; characters up to which any file with a licence is a licence file; cosine of a whole text at least.
+THRESHOLD, FILE_CHARS, FULL_THRESHOLD = 0.7, 600, 0.85
+#: Names of licence files, of any length.
+NAMED = r"(?i)(^|/)([a-z0-9]+-)?(licen[cs]e|copying|unlicen[cs]e)(-[^/.]*(\.[0-9]+)*|\.lesser)?(\.(txt|md|rst))?$"
 #: What parts passages, and what parts words after A-Z became a-z.
 PASSAGES, WORDS = r"\n|[.!?]+ ", "[^a-z0-9]+"
 
@@ -144,6 +148,33 @@ def own_licences(
     return best.select("path", F.col("best.template").alias("licence"), (-F.col("best.score")).alias("score"))
 
 
+def whole_licence(text: Column, full: dict[str, str] | None = None, threshold: float = FULL_THRESHOLD) -> Column:
+    """``score, licence`` of the licence text that a whole text is, the score negative; else null.
+
+    The score is the cosine of the sets of words.  A cosine of t needs t**2
+    of the text's words in the licence texts and bounds the number of
+    words on both sides, so what is left out before cannot reach it.
+    """
+    full = {name: sorted(set(listed.split())) for name, listed in (full or FULL_TEXTS).items()}
+    vocabulary = sorted(set().union(*full.values()))
+    share = threshold**2
+    sizes = [len(listed) for listed in full.values()]
+
+    def best(own: Column) -> Column:
+        scores = F.array(*[
+            F.struct((-F.round(
+                F.size(F.array_intersect(own, F.split(F.lit(" ".join(listed)), " "))) / F.sqrt(F.size(own) * F.lit(float(len(listed)))), 6
+            )).alias("score"), F.lit(name).alias("licence"))
+            for name, listed in sorted(full.items())
+        ])
+        return F.array_min(F.filter(scores, lambda x: x["score"] <= -threshold))
+
+    return _let(F.array_distinct(words(text)), lambda own: F.when(
+        F.size(own).between(math.floor(share * min(sizes)), math.ceil(max(sizes) / share))
+        & (F.size(F.filter(own, lambda w: w.isin(*vocabulary))) >= share * F.size(own) - 1), best(own)
+    ))
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest last, as ``depth, directory``."""
     parts = F.split(path, "/")
@@ -154,26 +185,38 @@ def ancestors(path: Column) -> Column:
 
 def scan_licences(
     files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None,
-    threshold: float = THRESHOLD, file_chars: int = FILE_CHARS,
+    threshold: float = THRESHOLD, file_chars: int = FILE_CHARS, full: dict[str, str] | None = None,
 ) -> DataFrame:
     """``path, licence, score, origin, directory`` of every path.
 
     ``origin`` is ``own``, ``inherited`` or ``none``; ``directory`` is the
-    one inherited from.  A licence file is a file with its own licence and
-    at most ``file_chars`` characters; of several in a directory the best
-    score counts, then the first path.  Licences of directories are joined by
+    one inherited from.  A text that is a whole licence text (``full``: the
+    words of each) has that licence, whatever single sentences say.  Licence
+    files are such texts and, with their own licence, files whose name says
+    so, of any length, and files of at most ``file_chars`` characters.  Of
+    several in a directory the former two go first, then the best score
+    counts, then the first path.  Licences of directories are joined by
     directory name; hot directories are on the side that is streamed.  A
     path without a directory inherits nothing; null paths are one row without
     licence.
     """
     own = own_licences(files, path_col, text_col, templates, threshold)
-    sizes = files.select(F.col(path_col).alias("path"), F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).alias("size"))
-    listed = staged(sizes.groupBy("path").agg(F.sum("size").alias("size")).join(own, "path", "left"), "listed")
+    text = F.col(text_col).cast("string")
+    sizes = files.select(
+        F.col(path_col).alias("path"), F.coalesce(F.char_length(text), F.lit(0)).alias("size"), whole_licence(text, full).alias("whole")
+    )
+    listed = staged(
+        sizes.groupBy("path").agg(F.sum("size").alias("size"), F.min("whole").alias("whole")).join(own, "path", "left").select(
+            "path", F.coalesce("whole.licence", "licence").alias("licence"), F.coalesce(-F.col("whole.score"), "score").alias("score"), "size",
+            F.when(F.col("whole").isNotNull() | F.col("path").rlike(NAMED), 0).when(F.col("size") <= file_chars, 1).alias("gives"),
+        ),
+        "listed",
+    )
     directory = F.expr("substring_index(path, '/', size(split(path, '/')) - 1)")
     given = (
-        listed.where(F.col("licence").isNotNull() & (F.col("size") <= file_chars) & F.col("path").contains("/"))
+        listed.where(F.col("licence").isNotNull() & F.col("gives").isNotNull() & F.col("path").contains("/"))
         .withColumn("directory", directory).groupBy("directory")
-        .agg(F.min(F.struct((-F.col("score")).alias("score"), "path", "licence")).alias("best"))
+        .agg(F.min(F.struct("gives", (-F.col("score")).alias("score"), "path", "licence")).alias("best"))
         .select("directory", F.col("best.licence").alias("given"))
     )
     bare = listed.where(F.col("licence").isNull() & F.col("path").contains("/"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from starweave.llm import licences, mixing, phrases, queries, secrets, simhash, sketches, suffixes
 from starweave.llm.common import bounded_sample
+from starweave.llm.licence_texts import FULL_TEXTS
 from tests.compare import check
 from tests.llm import helpers as H
 
@@ -41,6 +42,46 @@ def test_notices_that_many_files_share_are_found(spark):
     assert (got["d0/e/x"]["licence"], got["d0/e/x"]["origin"], got["d0/e/x"]["directory"]) == ("MIT", "inherited", "d0")
 
 
+FULL_MIT = """MIT License
+
+Copyright (c) 2024 Some One and Others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licence_texts_and_named_files_give_their_licence(spark):
+    notice, code = "Licensed under the Apache License, Version 2.0.", "\n".join(f"line {i} of other words" for i in range(100))
+    rows = [
+        ("a/7", FULL_MIT), ("a/b/c", "no notice"), ("a/short", notice),  # the whole text goes before a short file with a notice
+        ("n/LICENSE.txt", f"{notice}\n{code}"), ("n/m/x", "no notice"),  # long, and a licence file by name
+        ("s/source", f"{notice}\n{code}"), ("s/x", "no notice"),  # a long file with a header gives nothing
+    ]
+    rows += [(f"t/{name}/file", listed) for name, listed in FULL_TEXTS.items()] + [(f"t/{name}/d/x", "no notice") for name in FULL_TEXTS]
+    got = {r["path"]: (r["licence"], r["origin"], r["directory"]) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/7"] == ("MIT", "own", None) and got["a/b/c"] == ("MIT", "inherited", "a")
+    assert got["n/m/x"] == ("Apache-2.0", "inherited", "n")
+    assert got["s/source"] == ("Apache-2.0", "own", None) and got["s/x"] == (None, "none", None)
+    for name in FULL_TEXTS:
+        assert got[f"t/{name}/file"] == (name, "own", None) and got[f"t/{name}/d/x"] == (name, "inherited", f"t/{name}")
+
+
 def test_mix_meets_budgets_and_reshares(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)  # many ranges in a source
     rows = [(i, "w " * (1 + i % 9), "hot") for i in range(300)] + [(1000 + i, "w w w", "tiny") for i in range(3)] + [(2000 + i, "x y", None) for i in range(40)]
