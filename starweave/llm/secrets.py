@@ -2,8 +2,7 @@
 
 A byte-pair vocabulary packs language into few tokens.  A string with few
 characters for each token is random; what is known to look random without
-being secret (digests, UUIDs, numbers, addresses, names of identifiers) is
-left out first.
+being secret (digests, UUIDs, numbers) is left out first.
 """
 
 from __future__ import annotations
@@ -36,18 +35,13 @@ _ASSIGN = re.compile(
 _NAMED = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.@:%-])[A-Za-z0-9+/_=-]{{{LEAST},}}(?![A-Za-z0-9+/_=.@:%-]*[@:%])")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
-#: What looks random and is known: digests by length, UUIDs, snake and kebab names, camel-case names with a number behind.
+#: Candidates are parted by all else, by ':', '.', '@' and '%' too.
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_PART = re.compile(rf"[A-Za-z0-9+_=-]{{{LEAST},}}")
+_LETTER = re.compile(r"[A-Za-z]")
+#: What looks random and is known: digests by length, UUIDs, hexadecimal numbers.  Names are left to the ratio.
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-_KNOWN = re.compile(
-    r"(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}"
-    r"|0x[0-9a-f]+"
-    r"|(?:[A-Za-z]{2,}[0-9]{0,4}[_/-])+[A-Za-z]{2,}[0-9]{0,4}"
-    r"|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,8}"
-    r"|[0-9+/_=-]+)",
-    re.IGNORECASE,
-)
+_KNOWN = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|0x[0-9a-f]+", re.IGNORECASE)
 
 
 class Scanner(NamedTuple):
@@ -68,15 +62,25 @@ def is_digest(text: str) -> bool:
     return len(text) in _DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
 
 
+def is_random(word: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    """Few characters for each token, and not known; a string without a letter is a number."""
+    if not _LETTER.search(word) or _KNOWN.fullmatch(word) or is_digest(word):
+        return False
+    return len(word) < ratio * len(encoding.encode_ordinary(word))
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
-    """Spans of strings with few characters for each token, known ones left out."""
+    """Spans of strings with few characters for each token, known ones left out.
+
+    A string with slashes that is not random as a whole is looked at part by
+    part: base64 has slashes within, a path has them around.
+    """
     found = []
     for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if not _MIXED.match(word) or _KNOWN.fullmatch(word) or is_digest(word):
-            continue
-        if len(word) < ratio * len(encoding.encode_ordinary(word)):
+        if is_random(m.group(), encoding, ratio):
             found.append(m.span())
+        elif "/" in m.group():
+            found += [p.span() for p in _PART.finditer(text, *m.span()) if is_random(p.group(), encoding, ratio)]
     return found
 
 
@@ -92,10 +96,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def spans(text: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind.  A random string inside a base span is not named again."""
+    """All spans by start, then kind.  A random string that a base span holds whole is not named again."""
     found = base_spans(text)
     for a, b in random_spans(text, encoding, ratio):
-        if not any(x < b and a < y for _, x, y in found):
+        if not any(x <= a and b <= y for _, x, y in found):
             found.append(("random", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
