@@ -12,20 +12,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starweave.llm.common import free_name, mixed, staged, text_bytes
 from starweave.llm.components import components
 
-#: Most fingerprints of one slice of a shard, rows in a group of shards, pairs looked at together.
-SLICE, GROUP_ROWS, FRONTIER = 4096, 20_000, 1_000_000
+#: Most fingerprints of one slice of a shard, rows in a group of shards, pairs looked at together, rows of a class compared to one copy of its leaders.
+SLICE, GROUP_ROWS, FRONTIER, SLOT_ROWS = 4096, 20_000, 1_000_000, 200
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -37,6 +37,8 @@ class Plan(NamedTuple):
     radius: int = 3
     differ: float = 3 / 64  # share of differing bits of pairs that bands must bring together
     seed: int = 42
+    distinct: bool = False  # each different shingle counts once
+    similarity: float = 0.8  # Jaccard similarity of shingles from which on texts are near copies
 
 
 #: The exact fingerprints: every pair of at most three differing bits is found.
@@ -52,7 +54,7 @@ def similar_plan(shingle: int = 5, similarity: float = 0.8, longs: int = 6) -> P
     """
     p = _bit_difference(similarity)
     bits = 64 * longs
-    return Plan(shingle, longs, int(bits * p + 2 * math.sqrt(bits * p * (1 - p))), p)
+    return Plan(shingle, longs, int(bits * p + 2 * math.sqrt(bits * p * (1 - p))), p, distinct=True, similarity=similarity)
 
 
 def _bit_difference(similarity: float) -> float:
@@ -81,7 +83,10 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
 def fingerprint(text: bytes, plan: Plan = EXACT) -> list[int]:
     """The longs of one text's fingerprint, unsigned; no word: all zero."""
     counts, n = np.zeros(64 * plan.longs, np.int64), 0
-    for part in _hash_shingles(text.lower().split(), plan.shingle, plan.seed):
+    parts = _hash_shingles(text.lower().split(), plan.shingle, plan.seed)
+    if plan.distinct:
+        parts = [np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))]
+    for part in parts:
         n += len(part)
         for i in range(plan.longs):
             own = part if i == 0 else mixed(part + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64))
@@ -93,7 +98,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, f0, f1, ...``: one row for each row of ``docs``; null text has no word.
 
     Words are what ASCII white space parts, after A-Z became a-z; all
-    shingles count, repeats included; a text with fewer words than a shingle
+    shingles count, repeats included unless the plan says otherwise; a text with fewer words than a shingle
     is one shingle.  Nothing is shuffled.
     """
     names = [f"f{i}" for i in range(plan.longs)]
@@ -308,21 +313,92 @@ def near_duplicates(
     return prints.join(heads, names, "left").select("id", *names, "component_id")
 
 
+def shingle_set(text: Column, size: int) -> Column:
+    """Hashes of the different shingles of a text, over the words of ``fingerprints``."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(folded, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+    def shingles(all_: Column) -> Column:
+        last = F.greatest(F.size(all_) - size, F.lit(0))
+        hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(all_, i + k) for k in range(size)]))
+        return F.when(F.size(all_) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(hashes))
+
+    return F.element_at(F.transform(F.array(words), shingles), 1)
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets have the Jaccard similarity; two empty ones have."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str, plan: Plan, recall: float = 0.99) -> DataFrame:
+    """``id`` of the near copies: texts with the plan's exact similarity to a smaller id that stays.
+
+    Classes of linked fingerprints only say which texts to compare.  In
+    each class the smallest ids left lead; a text like a staying leader is its
+    near copy, and texts like none of them go on to the next round, so
+    that texts joined by a chain of links only all stay.  A round compares
+    each text left to some leaders, never all pairs; classes with many rows
+    are dealt out, leaders with them.  Of rows that share an id the first
+    text counts.
+    """
+    found = near_duplicates(docs, id_col, text_col, plan, recall).where("id is not null").select("id", "component_id").distinct()
+    several = found.groupBy("component_id").count().where(F.col("count") > 1).select("component_id")
+    members = found.join(several, "component_id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    left = staged(
+        docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(members, "id")
+        .groupBy("id", "component_id").agg(F.min("text").alias("text"))
+        .select("id", "component_id", shingle_set(F.col("text"), plan.shingle).alias("shingles")),
+        "members",
+    )
+    gone = left.select("id").limit(0)
+    for most in chain([1, 8], repeat(32)):
+        if left.isEmpty():
+            return gone
+        order = Window.partitionBy("component_id").orderBy("id")
+        leaders = staged(
+            left.select("id", "component_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+            .select("id", "component_id").join(left.select("id", "shingles"), "id"), "leaders",
+        )
+        slots = staged(left.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / SLOT_ROWS).cast("int").alias("slots")), "slots")
+        spread = leaders.join(slots, "component_id").select(
+            "component_id", F.col("id").alias("leader"), F.col("shingles").alias("theirs"),
+            F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
+        )
+        alike = staged(
+            left.join(slots, "component_id").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+            .join(spread, ["component_id", "slot"]).where("leader < id")
+            .where(_alike(F.col("shingles"), F.col("theirs"), plan.similarity)).select("component_id", "id", "leader"),
+            "alike",
+        )
+        # of the leaders of a class, at most ``most``: those like no staying one before them stay
+        ties = alike.join(leaders.select("id"), "id", "left_semi").groupBy("component_id").agg(F.collect_list(F.struct("leader", "id")).alias("ties"))
+        listed = leaders.groupBy("component_id").agg(F.array_sort(F.collect_list("id")).alias("ids")).join(ties, "component_id", "left")
+        staying = staged(listed.select(F.explode(F.aggregate(
+            "ids", F.array().cast("array<bigint>"), lambda kept, x: F.when(
+                F.coalesce(F.exists("ties", lambda t: (t["id"] == x) & F.array_contains(kept, t["leader"])), F.lit(False)), kept
+            ).otherwise(F.concat(kept, F.array(x))),
+        )).alias("leader")), "staying")
+        like = staged(alike.join(staying, "leader", "left_semi").select("id").distinct(), "like")
+        gone = gone.union(like)
+        left = staged(
+            left.join(like, "id", "left_anti").join(leaders.select("id"), "id", "left_anti"), "left"
+        )
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
-    """The rows of ``docs`` without near copies: the smallest id of each group stays.
+    """The rows of ``docs`` without near copies: a row goes if a smaller id that stays is like it.
 
-    Of rows that repeat the staying id, the first by text stays.  Rows
+    Of rows that repeat a staying id, the first by text stays.  Rows
     with a null id stay.  All columns are kept as they are.
     """
-    plan = plan or similar_plan()
-    heads = (
-        near_duplicates(docs, id_col, text_col, plan)
-        .select(F.col("component_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    )
+    gone = near_copies(docs, id_col, text_col, plan or similar_plan()).select(F.col("id").alias(id_col))
     place = free_name(docs, "place")
     within = Window.partitionBy(id_col).orderBy(text_col)
     kept = (
-        docs.join(heads, id_col, "left_semi")
+        docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(*docs.columns)
         .withColumn(place, F.row_number().over(within)).where(F.col(place) == 1).drop(place)
     )
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

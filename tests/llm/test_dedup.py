@@ -68,6 +68,37 @@ def test_one_of_each_keeps_clean_documents(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def _shingles(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_alike_on_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLOT_ROWS", 3)
+    draw = np.random.default_rng(6)
+    words = lambda n: [f"word{x}" for x in draw.integers(0, 100_000, n)]
+    line = "this line of seven words comes again\n"
+    rows = [(i, line * 50 + " ".join(words(100))) for i in range(4)]  # alike by repeats only
+    body = " ".join(words(300))
+    rows += [(10, f"{line}{body}"), (11, f"{line * 30}{body}")]  # the same shingles, other counts
+    chain = words(300)  # each text is like the one before, the last unlike the first
+    for i in range(60):
+        rows.append((20 + i, " ".join(chain)))
+        chain = chain[4:] + words(4)
+    rows += [(100, ""), (101, " "), (102, "few words"), (103, "FEW  words")]
+    kept = {r["doc_id"] for r in simhash.one_of_each(H.frame(spark, rows)).collect()}
+    sets = {d: _shingles(t) for d, t in rows}
+    expected = []
+    for d in sorted(sets):
+        if not any(_jaccard(sets[d], sets[k]) >= 0.8 for k in expected):
+            expected.append(d)
+    assert kept == set(expected) and {0, 1, 2, 3, 10, 100, 102} <= kept and len([d for d in kept if 20 <= d < 80]) > 3
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_cut_repeats_equals_brute_force(spark, seed):
     rows = H.corpus(seed)
