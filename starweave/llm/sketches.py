@@ -19,8 +19,8 @@ from starweave.llm.common import staged
 BASE_SLOTS, LARGER_SLOTS = 8, (6, 24, 128)
 #: Digests of both versions in one group of a larger sketch, on average; rounds of peeling, by size.
 GROUP_KEYS, ROUNDS = 5, {8: 8, 6: 5, 24: 10, 128: 20}
-#: Paragraphs are lines; a long line is cut after every third sentence.
-PARAGRAPH = r"(?:[^.!?\n]++[.!?]*+){1,3}"
+#: Paragraphs are lines, and sentences within them.
+PARAGRAPH = r"[^.!?\n]++[.!?]*+"
 
 
 
@@ -181,14 +181,27 @@ def _differing(a: Column, b: Column, slots: int, level: int, larger: tuple[int,
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     """Digests that only one version has: from the published sketches, or from larger ones in groups.
 
-    A larger sketch deals the digests into groups by their lowest bits and
-    peels each group on its own; only groups that fail are tried again.
+    A larger sketch deals the digests into groups by ranges of their values
+    and peels each group on its own; only groups that fail are tried again.
+    A group is a slice of the sorted digests, whose bounds are bisected.
     """
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda e: F.pow(F.lit(2), e).cast("int"))
+
+    def below(keys: Column, g: Column, n: Column) -> Column:
+        """How many sorted digests lie before group ``g`` of ``n``."""
+        bound = (g / n - 0.5) * 2.0**64
+        return F.aggregate(F.filter(steps, lambda s: s <= F.size(keys)), F.lit(0), lambda at, s: F.when(
+            (at + s <= F.size(keys)) & (F.get(keys, at + s - 1).cast("double") < bound), at + s
+        ).otherwise(at))
+
     def grouped(a_: Column, b_: Column) -> Column:
         groups = F.greatest(_long(1), F.ceil((F.size(a_) + F.size(b_)) / GROUP_KEYS))
 
         def one(g: Column, n: Column) -> Column:
-            mine = lambda keys: F.filter(keys, lambda k: F.pmod(k, n) == g)
+            def mine(keys: Column) -> Column:
+                after = F.when(g == n - 1, F.size(keys)).otherwise(below(keys, g + 1, n))
+                return _let(below(keys, g, n), lambda at: F.slice(keys, at + 1, after - at))
+
             return _let(F.struct(mine(a_).alias("a"), mine(b_).alias("b")), lambda p: _differing(p["a"], p["b"], LARGER_SLOTS[0], 1, LARGER_SLOTS[1:]))
 
         return _let(groups, lambda n: F.aggregate(
@@ -197,7 +210,7 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
     return _let(peel(subtract(base_a, base_b), BASE_SLOTS, 0), lambda r: F.when(
         r["done"], _count(r["found"])
-    ).otherwise(grouped(a, b)))
+    ).otherwise(_let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), lambda p: grouped(p["a"], p["b"]))))
 
 
 def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:

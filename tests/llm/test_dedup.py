@@ -166,6 +166,14 @@ def test_fingerprints_with_edit_equal_brute_force(spark):
     assert got[1000]["fingerprint"] == got[1004]["fingerprint"] != got[2000]["fingerprint"]
 
 
+def test_sentences_of_one_line_are_compared_one_by_one(spark):
+    short, line = "One thing is said. Another follows it. A third one ends here.", [f"Sentence number {i} stands here." for i in range(60)]
+    rows = [(1, short), (2, " ".join(line)), (3, " ".join(["Put in front."] + line))]
+    got = {r["id"]: r for r in sketches.fingerprints_with_edit(H.frame(spark, rows)).collect()}
+    assert got[1]["near_edited"] == pytest.approx(4 / 6)  # the edit cuts the last sentence only
+    assert got[2]["near_next"] == pytest.approx(120 / 121)  # one sentence put in moves no other
+
+
 def test_larger_sketches_take_over(spark):
     from pyspark.sql import functions as F
 
