@@ -148,9 +148,102 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM placed
 """
 
+#: crc32 of the decimal id, bit by bit, modulo 9.
+_CRC_9 = """
+    xor(list_reduce(
+      flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END,
+      CAST(4294967295 AS BIGINT)
+    ), 4294967295) % 9"""
+
+_TRIE = r"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, struct_pack(
+      key := left(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 32), bytes := strlen(text)
+    ) AS said,
+    row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 32)
+    ) AS i
+  FROM told
+), own AS (SELECT conv_id, list(said ORDER BY i) AS said FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, said, {crc} AS h FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.said[1:a.h], []), a.said[a.h + 1:]) AS said
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.base
+), prefixes AS (
+  SELECT conv_id, len(said) AS size, d AS depth,
+    array_to_string(list_transform(said[1:d], lambda x: x.key), '') AS path,
+    CASE WHEN d > 0 THEN array_to_string(list_transform(said[1:d - 1], lambda x: x.key), '') END AS parent,
+    CASE WHEN d > 0 THEN said[d].bytes ELSE 0 END AS bytes
+  FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends
+  FROM prefixes GROUP BY path, depth
+), children AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sized AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+above AS (
+  SELECT unnest(list_transform(range(0, depth + 1), lambda d: left(path, CAST(d * 32 AS INT)))) AS path,
+    (n_children = 0)::INT AS leaf, (n_convs - 1) * bytes AS saved FROM sized
+), totals AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(s.n_convs AS BIGINT) AS n_convs,
+  CAST(s.n_children AS BIGINT) AS n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(s.ends) AS ends_sha256
+FROM sized s JOIN totals t USING (path) LEFT JOIN nodes p ON p.path = s.parent
+""".replace("{crc}", _CRC_9)
+
+_AUDIT = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), fails AS (
+  SELECT doc_id, part,
+    len(words) < 200 AS fa, 100 * len(list_distinct(words)) < 50 * len(words) AS fb,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS fc,
+    regexp_matches(text, '[#$%&*|]') AS fd,
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS fe
+  FROM docs
+), marked AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, fa, fb, fc, fd, fe, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM fails LEFT JOIN marked USING (doc_id) GROUP BY ALL
+), letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+held AS (
+  SELECT part, filter_order, step, n, good, toxic,
+    list_filter([CASE WHEN fa THEN 'A' END, CASE WHEN fb THEN 'B' END, CASE WHEN fc THEN 'C' END, CASE WHEN fd THEN 'D' END,
+      CASE WHEN fe THEN 'E' END], lambda x: x IS NOT NULL) AS failed,
+    substr(filter_order, CAST(step AS INT), 1) AS own
+  FROM counts, steps
+), placed AS (
+  SELECT *, list_min(list_transform(failed, lambda x: instr(filter_order, x))) AS gone_at FROM held
+), summed AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, any_value(own) AS own,
+    coalesce(sum(n) FILTER (gone_at IS NULL OR gone_at > step), 0) AS kept,
+    coalesce(sum(n) FILTER (gone_at = step), 0) AS removed,
+    coalesce(sum(n) FILTER (gone_at < step AND list_contains(failed, own)), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = [own]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (gone_at = step), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (gone_at = step), 0) AS toxic_lost
+  FROM placed GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
 ORACLES = {
     "op2_substring_dedup": _SUBSTRINGS,
     "op3_benchmark_decontamination": _DECONTAMINATION,
     "op4_license_scan": _LICENCES,
     "op5_source_mixing": _MIXING,
+    "op11_conversation_trie": _TRIE,
+    "op12_filter_audit": _AUDIT,
 }

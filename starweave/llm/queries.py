@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starweave.llm import language, licences, mixing, phrases, quality, secrets, simhash, sketches, suffixes, toxicity
+from starweave.llm import audit, language, licences, mixing, neighbours, phrases, prefixes, quality, secrets, simhash, sketches, suffixes, toxicity
 from starweave.llm.common import crc32_of, table
 from starweave.llm.oracles import ORACLES
 
@@ -91,6 +91,26 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt from the first turns of another one: h of them, then one's own behind the first h."""
+    own = prefixes.turn_sequences(table(spark, sf_dir, "conversations"))
+    heads = own.where(F.col("conv_id") % 5 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    told = own.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 5, "h": (crc32_of("conv_id") % 9).cast("int")})
+    rebuilt = F.concat(
+        F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.array().cast("array<string>")), F.slice("turns", F.col("h") + 1, F.size("turns"))
+    )
+    return prefixes.prefix_trie(told.join(heads, "base", "left").select("conv_id", rebuilt.alias("turns")))
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": near_dedup,
     "op2_substring_dedup": substring_dedup,
@@ -102,6 +122,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": document_fingerprints,
     "op9_toxicity": toxicity_scores,
     "op10_secret_scan": secret_scan,
+    "op11_conversation_trie": conversation_trie,
+    "op12_filter_audit": filter_audit,
+    "op13_nearest_neighbours": nearest_vectors,
 }
 
 
