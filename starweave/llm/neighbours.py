@@ -268,7 +268,8 @@ def _answers(spark, held: DataFrame, wanted: DataFrame, size: int, n: int, n_que
     def blocks(rows: DataFrame, many: int, bytes_each: int):
         pieces = max(1, ceil(many * bytes_each / BLOCK_BYTES))
         for i in range(pieces):
-            yield rows.where(F.pmod(key, F.lit(pieces)) == i).collect() if pieces > 1 else rows.collect()
+            if block := (rows.where(F.pmod(key, F.lit(pieces)) == i) if pieces > 1 else rows).collect():
+                yield block
 
     def exact(rows: DataFrame, many: int):
         for block in blocks(rows, many, 8 * size + 64):
