@@ -16,7 +16,7 @@ import oracle  # noqa: E402
 from starweave import settings as S  # noqa: E402
 from starweave.operators import (  # noqa: E402
     checkins as C, corating as K, encoding as E, evaluation as V, features as X,
-    neighbours as N, ratings as R, selection as L, similarity as Z,
+    models as M, neighbours as N, ratings as R, selection as L, similarity as Z,
 )
 from starweave.operators.skew import lookup_join, measure_hot  # noqa: E402
 from starweave.plans import jobs  # noqa: E402
@@ -238,35 +238,76 @@ def _top_features(spark, sf):
     return L.top_features(_correlations(spark, sf), 6)
 
 
-def _feature_model(spark, sf):
+def _feature_model(spark, sf, profile=S.FEATURE_MODEL):
     return jobs.feature_regression(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
-        profile=S.QUICK_MODEL, stage=parquet_stage(spark),
+        profile=profile, stage=parquet_stage(spark),
     )
 
 
-def _hybrid_model(spark, sf):
+def _hybrid_model(spark, sf, profile=S.HYBRID_MODEL):
     return jobs.hybrid(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
-        T.checkins(spark, sf), profile=S.QUICK_MODEL, stage=parquet_stage(spark),
+        T.checkins(spark, sf), profile=profile, stage=parquet_stage(spark),
     )
 
 
-def _selector_model(spark, sf):
+def _selector_model(spark, sf, profile=S.SHORT_HYBRID, selector=S.SHORT_SELECTOR, folds=0):
     return jobs.selected(
         T.train_ratings(spark, sf), pairs(spark, sf), T.users(spark, sf), T.businesses(spark, sf),
-        T.checkins(spark, sf), profile=S.QUICK_MODEL, selector=S.QUICK_MODEL,
+        T.checkins(spark, sf), profile=profile, selector=selector, folds=folds,
         stage=parquet_stage(spark),
     )
 
 
-def _scored_rows(model) -> Query:
+def _scored_rows(model, **options) -> Query:
     """Which requested rows a model answers with a number between the stars, give or take one."""
     def query(spark, sf):
-        return model(spark, sf).select(*PAIR, F.col("prediction").between(0.0, 6.0).alias("scored"))
+        return model(spark, sf, **options).select(*PAIR, F.col("prediction").between(0.0, 6.0).alias("scored"))
     return query
 
 
+def _planted_rows(spark, sf):
+    """Feature rows of all rated pairs, with a label that follows from them but for a tenth of noise; the hold-out apart.
+
+    The tables' own stars are drawn at random, so no model can beat their mean.
+    """
+    rows = X.feature_table(
+        T.ratings(spark, sf).select(*PAIR, (F.col("rated_at.o_orderdate") < F.lit(T.HOLDOUT_FROM).cast("timestamp_ntz")).alias("train")),
+        T.users(spark, sf), T.businesses(spark, sf),
+    )
+    rule = (
+        F.coalesce(F.col("user_review_count"), F.lit(30)) % 4 + F.coalesce(F.col("business_review_count"), F.lit(0)) % 3
+        + F.when(F.col("business_stars").isNull(), 2).otherwise((F.col("business_stars") > 3.0).cast("int"))
+    )
+    noise = F.pmod(F.xxhash64(*PAIR), F.lit(1000)) / 1000 - 0.5
+    names = ["user_review_count", "average_stars", "business_stars", "business_review_count"]
+    planted = rows.select(*PAIR, "train", *names, (rule + noise).cast("double").alias("planted"))
+    return parquet_stage(spark)(planted, "planted"), names
+
+
+def _planted_stars(spark, sf):
+    """Does the regression model at its documented profile explain half of a planted label's variance on rows it has not seen?"""
+    rows, names = _planted_rows(spark, sf)
+    held = rows.where(~F.col("train"))
+    model = M.fit_regressor(rows.where("train"), names, S.FEATURE_MODEL, label="planted")
+    error = F.avg((F.col("prediction") - F.col("planted")) ** 2)
+    return model.predict(held).agg(F.count("*").alias("n"), (error < 0.5 * F.var_pop("planted")).alias("beats_the_mean"))
+
+
+def _planted_choice(spark, sf):
+    """Is the selector right more often than its larger class, and calibrated to a twentieth, on rows it has not seen?"""
+    rows, names = _planted_rows(spark, sf)
+    rows = rows.withColumn("closer", (F.col("planted") > 3).cast("int"))
+    scored = M.fit_selector(rows.where("train"), names, S.SHORT_SELECTOR).predict(rows.where(~F.col("train")))
+    share = F.avg("closer")
+    return scored.agg(
+        F.count("*").alias("n"),
+        (F.avg((F.col("prediction") == F.col("closer")).cast("int")) > F.greatest(share, 1 - share) + 0.05).alias("beats_larger_class"),
+        (F.abs(F.avg("probability") - share) < 0.05).alias("calibrated"),
+    )
+
+
 def _written(frame: DataFrame, kind: str) -> str:
     """The frame as files of that kind in the shared folder, with one more column; their path."""
     path = f"{shared_folder(frame.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -380,14 +421,18 @@ _QUERIES: dict[str, Query] = {
     "combine_predictions": _combined,
     "closer_prediction_label": _labels,
     "select_prediction": _selected,
-    # models: rows are checked, values depend on the tree library
+    # models, two of them at their documented profiles
     "gbt_feature_model": _feature_model,
     "gbt_hybrid_model": _hybrid_model,
     "gbt_selector_model": _selector_model,
     # the same models under SQL: every requested row is answered
-    "gbt_feature_model_scored": _scored_rows(_feature_model),
-    "gbt_hybrid_model_scored": _scored_rows(_hybrid_model),
-    "gbt_selector_model_scored": _scored_rows(_selector_model),
+    "gbt_feature_model_scored": _scored_rows(_feature_model, profile=S.QUICK_MODEL),
+    "gbt_hybrid_model_scored": _scored_rows(_hybrid_model, profile=S.QUICK_MODEL),
+    "gbt_selector_model_scored": _scored_rows(_selector_model, profile=S.QUICK_MODEL, selector=S.QUICK_MODEL),
+    "gbt_selector_cross_fitted_scored": _scored_rows(_selector_model, profile=S.QUICK_MODEL, selector=S.QUICK_MODEL, folds=2),
+    # and what they are worth on rows not seen, where there is something to learn
+    "gbt_regression_planted": _planted_stars,
+    "gbt_selector_planted": _planted_choice,
 }
 
 

@@ -358,6 +358,9 @@ def oracle_sql() -> dict[str, str]:
         "gbt_feature_model_scored": raw + " SELECT user_id, business_id, true AS scored FROM holdout",
         "gbt_hybrid_model_scored": raw + " SELECT user_id, business_id, true AS scored FROM holdout",
         "gbt_selector_model_scored": raw + " SELECT DISTINCT user_id, business_id, true AS scored FROM holdout",
+        "gbt_selector_cross_fitted_scored": raw + " SELECT DISTINCT user_id, business_id, true AS scored FROM holdout",
+        "gbt_regression_planted": raw + " SELECT count(*) AS n, true AS beats_the_mean FROM holdout",
+        "gbt_selector_planted": raw + " SELECT count(*) AS n, true AS beats_larger_class, true AS calibrated FROM holdout",
         "predictions_round_trip": raw + " SELECT user_id, business_id, stars AS prediction FROM raw",
         "predict_pearson_cf_blank_ids": _blank_ids("coalesce(um.user_mean, 3.45e0)"),
         "predict_cosine_cf_blank_ids": _blank_ids("(coalesce(um.user_mean, 3.45e0) + coalesce(im.item_mean, 3.45e0)) / 2"),

@@ -31,14 +31,18 @@ class BoostingProfile:
     trees: int
     row_share: float = 0.8
     column_share: float = 0.5
-    min_rows_per_node: int = 1
+    min_rows_per_node: int = 1  # least second derivative on either side; squared error: rows
     seed: int = 7
+    penalty: float = 1.0        # L2 term of the leaves
 
 
 # --- fixed values: model parameters -----------------------------------------
 FEATURE_MODEL = BoostingProfile(14, 0.051, 200, 0.8, 0.5, 60)
 HYBRID_MODEL = BoostingProfile(14, 0.061, 300, 0.8, 0.6, 100)
-SELECTOR_MODEL = BoostingProfile(16, 0.051, 300, 0.8, 0.6, 100)
+SELECTOR_MODEL = BoostingProfile(16, 0.051, 300, 0.8, 0.6, 100, penalty=9.0)
+# the same with fewer trees, for the registered query that trains two models one after the other
+SHORT_HYBRID = BoostingProfile(14, 0.061, 60, 0.8, 0.6, 100)
+SHORT_SELECTOR = BoostingProfile(16, 0.051, 60, 0.8, 0.6, 100, penalty=9.0)
 # small profile for tests and smoke runs
 QUICK_MODEL = BoostingProfile(4, 0.2, 5, 0.8, 1.0, 5)
 
