@@ -20,8 +20,7 @@ BASE_SLOTS, LARGER_SLOTS = 8, (6, 24, 128)
 #: Digests of both versions in one group of a larger sketch, on average; rounds of peeling, by size.
 GROUP_KEYS, ROUNDS = 5, {8: 8, 6: 5, 24: 10, 128: 20}
 #: Paragraphs are lines, and sentences within them.
-PARAGRAPH = r"[^.!?\n]++[.!?]*+"
-
+PARAGRAPH = r"[^.!?\n]*+[.!?]++|[^.!?\n]++"
 
 
 def _let(value: Column, body) -> Column:
@@ -152,12 +151,18 @@ def peel(cells: Column, slots: int, level: int) -> Column:
         )))
 
     def step(state: Column, _: Column) -> Column:
-        return _let(pure(state["cells"]), lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
-            without(state["cells"], found).alias("cells"), F.concat(state["found"], found).alias("found"),
-        )))
+        def taken(found: Column) -> Column:
+            return F.when(F.size(found) == 0, F.struct(
+                state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over")
+            )).otherwise(F.struct(
+                without(state["cells"], found).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(False).alias("over"),
+            ))
+
+        # rounds behind one that finds nothing cost nothing
+        return F.when(state["over"], state).otherwise(_let(pure(state["cells"]), taken))
 
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS[slots])), F.struct(cells.alias("cells"), none.alias("found")), step,
+        F.sequence(F.lit(1), F.lit(ROUNDS[slots])), F.struct(cells.alias("cells"), none.alias("found"), F.lit(False).alias("over")), step,
         lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)).alias("done"), s["found"].alias("found")),
     )
 
@@ -168,12 +173,16 @@ def _count(found: Column) -> Column:
 
 
 def _differing(a: Column, b: Column, slots: int, level: int, larger: tuple[int, ...]) -> Column:
-    """How many digests differ, by sketches of this size or, where peeling fails, of the next."""
+    """How many digests differ, by sketches of this size or, where peeling fails, of the next.
+
+    If the largest fails too, the digests themselves are compared.
+    """
     def judged(result: Column) -> Column:
-        most = _count(result["found"])
         if larger:
-            most = _differing(a, b, larger[0], level + 1, larger[1:])
-        return F.when(result["done"], _count(result["found"])).otherwise(most)
+            other = _differing(a, b, larger[0], level + 1, larger[1:])
+        else:
+            other = (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).cast("long")
+        return F.when(result["done"], _count(result["found"])).otherwise(other)
 
     return _let(peel(signed_sketch(a, b, slots, level), slots, level), judged)
 
@@ -183,29 +192,34 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
     A larger sketch deals the digests into groups by ranges of their values
     and peels each group on its own; only groups that fail are tried again.
-    A group is a slice of the sorted digests, whose bounds are bisected.
+    A group is a slice of the sorted digests; all bounds are bisected first.
     """
-    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    def bounds(keys: Column, groups: Column) -> Column:
+        """How many sorted digests lie before each group, and all of them behind the last."""
+        steps = F.transform(F.sequence(F.floor(F.log2(F.size(keys) + F.lit(0.5))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2), e).cast("int"))
+
+        def below(g: Column, steps: Column, n: Column) -> Column:
+            return _let((g / n - 0.5) * 2.0**64, lambda bound: F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+                (at + s <= F.size(keys)) & (F.get(keys, at + s - 1).cast("double") < bound), at + s
+            ).otherwise(at)))
 
-    def below(keys: Column, g: Column, n: Column) -> Column:
-        """How many sorted digests lie before group ``g`` of ``n``."""
-        bound = (g / n - 0.5) * 2.0**64
-        return F.aggregate(F.filter(steps, lambda s: s <= F.size(keys)), F.lit(0), lambda at, s: F.when(
-            (at + s <= F.size(keys)) & (F.get(keys, at + s - 1).cast("double") < bound), at + s
-        ).otherwise(at))
+        inner = _let(steps, lambda steps_: F.transform(F.sequence(_long(0), groups - 1), lambda g: below(g, steps_, groups)))
+        found = F.when(F.size(keys) == 0, F.array_repeat(F.lit(0), groups.cast("int"))).otherwise(inner)
+        return F.concat(found, F.array(F.size(keys)))
 
     def grouped(a_: Column, b_: Column) -> Column:
         groups = F.greatest(_long(1), F.ceil((F.size(a_) + F.size(b_)) / GROUP_KEYS))
 
-        def one(g: Column, n: Column) -> Column:
-            def mine(keys: Column) -> Column:
-                after = F.when(g == n - 1, F.size(keys)).otherwise(below(keys, g + 1, n))
-                return _let(below(keys, g, n), lambda at: F.slice(keys, at + 1, after - at))
+        def one(g: Column, at: Column) -> Column:
+            def mine(keys: Column, side: str) -> Column:
+                return _let(F.get(at[side], g.cast("int")), lambda first: F.slice(keys, first + 1, F.get(at[side], g.cast("int") + 1) - first))
 
-            return _let(F.struct(mine(a_).alias("a"), mine(b_).alias("b")), lambda p: _differing(p["a"], p["b"], LARGER_SLOTS[0], 1, LARGER_SLOTS[1:]))
+            return _let(F.struct(mine(a_, "a").alias("a"), mine(b_, "b").alias("b")), lambda p: F.when(
+                F.size(p["a"]) + F.size(p["b"]) == 0, _long(0)
+            ).otherwise(_differing(p["a"], p["b"], LARGER_SLOTS[0], 1, LARGER_SLOTS[1:])))
 
-        return _let(groups, lambda n: F.aggregate(
-            F.transform(F.sequence(_long(0), n - 1), lambda g: one(g, n)), _long(0), lambda s, x: s + x
+        return _let(F.struct(groups.alias("n"), bounds(a_, groups).alias("a"), bounds(b_, groups).alias("b")), lambda at: F.aggregate(
+            F.transform(F.sequence(_long(0), at["n"] - 1), lambda g: one(g, at)), _long(0), lambda s, x: s + x
         ))
 
     return _let(peel(subtract(base_a, base_b), BASE_SLOTS, 0), lambda r: F.when(

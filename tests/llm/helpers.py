@@ -113,7 +113,7 @@ def leaks(rows, items, window=10):
 
 
 def paragraphs(text):
-    return collections.Counter(y for y in (x.strip(" ") for x in re.findall(r"(?:[^.!?\n]+[.!?]*){1,3}", text)) if y)
+    return collections.Counter(y for y in (x.strip(" ") for x in re.findall(r"[^.!?\n]*[.!?]+|[^.!?\n]+", text or "")) if y)
 
 
 def likeness(a, b):

@@ -188,3 +188,32 @@ def test_larger_sketches_take_over(spark):
         sketches.differing(*[F.col(c) for c in "abxy"]).alias("n"),
     ).first()
     assert not row["small"]["done"] and row["n"] == 199 + 300
+
+
+MARKS = [
+    (1, "!!!!"), (2, ""), (3, "?! abc"), (4, "abc"), (5, "One thing. Another. A third."), (6, "One thing.Another! A third?  And more.\n...\n. . ."),
+    (7, " ".join(f"Sentence {i} of a long line." for i in range(90))), (8, " ".join(f"Sentence {i} of a long line." for i in range(70, 190)) + "!!"),
+    (9, "no mark at all\nsecond line\n\nsecond line"), (10, None), (11, "é. ü! " * 30),
+]
+
+
+def check_marks(spark):
+    got = {r["id"]: r for r in sketches.fingerprints_with_edit(H.frame(spark, MARKS)).collect()}
+    texts = [t or "" for _, t in MARKS]
+    for i, (d, _) in enumerate(MARKS):
+        text, after = texts[i], texts[(i + 1) % len(texts)]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        assert got[d]["near_edited"] == pytest.approx(H.likeness(text, edited)), d
+        assert got[d]["near_next"] == pytest.approx(H.likeness(text, after)), d
+    assert got[1]["fingerprint"] != got[2]["fingerprint"] == got[10]["fingerprint"] and got[3]["fingerprint"] != got[4]["fingerprint"]
+
+
+def test_marks_alone_and_in_front_count(spark):
+    check_marks(spark)
+
+
+def test_sketches_that_all_fail_end_in_an_exact_answer(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "ROUNDS", dict.fromkeys(sketches.ROUNDS, 1))
+    monkeypatch.setattr(sketches, "GROUP_KEYS", 60)
+    check_marks(spark)
