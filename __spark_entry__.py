@@ -66,16 +66,18 @@ def _train_features(spark, sf):
 
 
 def _hybrid_table(spark, sf):
-    train = T.train_ratings(spark, sf)
+    stage = parquet_stage(spark)
+    train = stage(T.train_ratings(spark, sf), "ratings")
+    cf = stage(N.predict_training_pairs(train, stage=stage), "cf")
     return X.hybrid_feature_table(
-        train.select(*PAIR, "stars"), T.users(spark, sf), T.businesses(spark, sf),
-        C.totals(T.checkins(spark, sf)), N.predict_training_pairs(train),
+        train.select(*PAIR, "stars"), T.users(spark, sf), T.businesses(spark, sf), C.totals(T.checkins(spark, sf)), cf,
     )
 
 
 def _candidates(spark, sf, item: str = "l_partkey"):
-    train, asked = T.train_ratings(spark, sf, item), pairs(spark, sf, item)
-    latest = R.latest_ratings(train)
+    stage = parquet_stage(spark)
+    train, asked = stage(T.train_ratings(spark, sf, item), "ratings"), pairs(spark, sf, item)
+    latest = stage(R.latest_ratings(train), "latest")
     asked_users, asked_items = measure_hot(asked, ["user_id"], ["business_id"])
     known = lookup_join(
         asked.distinct(), latest.select("business_id").distinct(), ["business_id"], "inner",
