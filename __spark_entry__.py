@@ -99,6 +99,15 @@ def _co_rating_stats(spark, sf):
     )
 
 
+def _requested_stats(spark, sf):
+    """Moments of the pairs of a hold-out item and an item that its user rated before."""
+    stage = parquet_stage(spark)
+    ratings = stage(R.latest_ratings(T.train_ratings(spark, sf)), "latest")
+    wanted = Z.canonical_pairs(_candidates(spark, sf), "target", "item")
+    stats = K.requested_moments(ratings, wanted, stage=stage)
+    return stats.select("item_a", "item_b", "n", "sum_a", "sum_b", "sum_ab", "sum_aa", "sum_bb")
+
+
 def _popular_pairs(spark, sf):
     return Z.popular_pairs(R.most_popular(T.ratings(spark, sf)))
 
@@ -385,6 +394,7 @@ _QUERIES: dict[str, Query] = {
     # co-rating and similarity
     "cf_candidates": _candidates,
     "co_rating_stats": _co_rating_stats,
+    "co_rating_stats_requested": _requested_stats,
     "co_raters": _co_raters,
     "popular_item_pairs": _popular_pairs,
     "popular_pair_similarity": lambda s, d: Z.popular_pair_similarities(T.ratings(s, d)),

@@ -317,6 +317,10 @@ def oracle_sql() -> dict[str, str]:
         "co_rating_stats": _with(DENSE, _latest("raw"), CO_RATED) + """
             SELECT item_a, item_b, n, sa AS sum_a, sb AS sum_b, sab AS sum_ab, saa AS sum_aa, sbb AS sum_bb
             FROM co WHERE item_a < item_b""",
+        "co_rating_stats_requested": _with(RATINGS, _latest("train"), _candidates("holdout"), CO_RATED) + """
+            SELECT item_a, item_b, n, sa AS sum_a, sb AS sum_b, sab AS sum_ab, saa AS sum_aa, sbb AS sum_bb
+            FROM co WHERE EXISTS (
+                SELECT 1 FROM cand c WHERE least(c.target, c.item) = item_a AND greatest(c.target, c.item) = item_b)""",
         "co_raters": _with(RATINGS, _latest("raw"), _TOP20) + """
             SELECT a.business_id AS item_a, b.business_id AS item_b, a.user_id
             FROM latest a JOIN latest b ON a.user_id = b.user_id AND a.business_id < b.business_id

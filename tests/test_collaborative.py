@@ -175,6 +175,36 @@ def test_both_ways_to_co_ratings_agree(spark):
     assert table(K.moments(K.co_ratings_by_request(pairs, latest))) == expected
 
 
+def test_requested_moments_are_those_of_the_pairs_asked_for(spark, monkeypatch):
+    from starweave.operators import pair_filter
+
+    rows, _ = skewed_rows(3)
+    latest = R.latest_ratings(spark.createDataFrame(rows, RATING + ", rated_at int"))
+    every = {(r["item_a"], r["item_b"]): tuple(r) for r in K.co_rating_moments(latest).collect()}
+    asked = sorted(every)[::5]
+    odd = [asked[0], ("b0", "none"), (asked[0][1] + "x", asked[0][0]), (None, "b1"), ("b1", None)]
+    pairs = spark.createDataFrame(asked + odd, "item_a string, item_b string")
+    for sent in (pair_filter.BROADCAST_BYTES, 0):  # with the bitmap, and where it would be too large
+        monkeypatch.setattr(pair_filter, "BROADCAST_BYTES", sent)
+        for tuning in TUNINGS[:3]:
+            got = K.requested_moments(latest, pairs, tuning=tuning).collect()
+            assert sorted(map(tuple, got)) == [every[p] for p in asked]
+    assert K.requested_moments(latest, pairs.limit(0)).count() == 0
+
+
+def test_the_bitmap_drops_nearly_all_other_pairs_before_the_sums(spark):
+    from starweave.operators.pair_filter import only_requested
+
+    rows = spark.range(20_000).selectExpr("id as item_a", "id + 1 as item_b")
+    wanted = rows.where("item_a % 10 = 0")
+    kept = only_requested(rows, wanted, ["item_a", "item_b"], 2000)
+    assert kept.columns == rows.columns and kept.where("item_a % 10 = 0").count() == 2000
+    assert kept.count() < 2000 + 18_000 * 0.03
+    text = kept.groupBy("item_a").count()._jdf.queryExecution().optimizedPlan().toString()
+    lines = text.splitlines()
+    assert next(i for i, x in enumerate(lines) if "Aggregate" in x) < next(i for i, x in enumerate(lines) if "_words" in x)
+
+
 def test_targets_restrict_the_pairs(spark, golden):
     flagged = R.latest_ratings(golden).withColumn("t", F.col("business_id") == "b4")
     got = K.co_rating_moments(flagged, target_flag="t").select("item_a", "item_b").collect()
