@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from starweave.llm.licences import TEMPLATES
+from starweave.llm.licence_texts import FULL_TEXTS
+from starweave.llm.licences import FILE_CHARS, FULL_THRESHOLD, NAMED, TEMPLATES
 
 _SUBSTRINGS = r"""
 WITH docs AS (
@@ -79,9 +80,7 @@ units AS (SELECT template, word, weight / sqrt(sum(weight * weight) OVER (PARTIT
 passages AS (
   SELECT path, list_filter(regexp_split_to_array(%(passage)s, '[^a-z0-9]+'), lambda w: w <> '') AS words
   FROM (SELECT path, unnest(regexp_split_to_array(text, '\n|[.!?]+ ')) AS passage FROM docs)
-), looked AS (
-  SELECT path, array_to_string(words, ' ') AS passage, words FROM passages
-  WHERE list_has_any(words, (SELECT list(word) FROM idf, total WHERE df < greatest(2.0, 0.05 * n)))
+), looked AS (SELECT path, array_to_string(words, ' ') AS passage, words FROM passages
 ), terms AS (
   SELECT path, passage, word, count(*) AS tf FROM (SELECT path, passage, unnest(words) AS word FROM looked) GROUP BY ALL
 ), weighted AS (
@@ -96,11 +95,24 @@ passages AS (
   SELECT path, template AS licence, score FROM (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, template) AS r FROM scored
   ) WHERE r = 1
-), listed AS (SELECT doc_id, docs.path, length(text) AS size, licence, score FROM docs LEFT JOIN own USING (path)),
-given AS (
+), full_texts(licence, words) AS (VALUES %(full)s),
+sets AS (
+  SELECT path, list_distinct(list_filter(regexp_split_to_array(%(text)s, '[^a-z0-9]+'), lambda w: w <> '')) AS own FROM docs
+), whole AS (
+  SELECT path, licence AS whole, score AS whole_score FROM (
+    SELECT path, licence, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) AS r FROM (
+      SELECT path, licence, round(len(list_intersect(own, words)) / sqrt(len(own) * CAST(len(words) AS DOUBLE)), 6) AS score
+      FROM sets, full_texts WHERE len(own) > 0
+    ) WHERE score >= %(full_threshold)s
+  ) WHERE r = 1
+), listed AS (
+  SELECT doc_id, docs.path, coalesce(whole, licence) AS licence, coalesce(whole_score, score) AS score,
+    CASE WHEN whole IS NOT NULL OR regexp_matches(docs.path, '%(named)s') THEN 0 WHEN length(text) <= %(file_chars)s THEN 1 END AS gives
+  FROM docs LEFT JOIN own USING (path) LEFT JOIN whole USING (path)
+), given AS (
   SELECT directory, licence AS given FROM (
-    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY score DESC, path) AS r
-    FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM listed WHERE licence IS NOT NULL AND size <= 600)
+    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY gives, score DESC, path) AS r
+    FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM listed WHERE licence IS NOT NULL AND gives IS NOT NULL)
   ) WHERE r = 1
 ), ups AS (
   SELECT path, regexp_replace(path, '/[^/]*$', '') AS near_, regexp_replace(path, '/.*$', '') AS far_ FROM listed
@@ -112,6 +124,8 @@ FROM listed l JOIN ups ON ups.path = l.path
 LEFT JOIN given a ON a.directory = ups.near_ LEFT JOIN given b ON b.directory = ups.far_
 """ % {
     "templates": ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items()),
+    "full": ", ".join(f"('{name}', {sorted(set(listed.split()))})" for name, listed in FULL_TEXTS.items()),
+    "full_threshold": FULL_THRESHOLD, "named": NAMED, "file_chars": FILE_CHARS,
     "template_text": _PLAIN.format("text"), "text": _PLAIN.format("text"), "passage": _PLAIN.format("passage"),
 }
 
