@@ -16,7 +16,7 @@ from tests.compare import check
 from tests.llm import helpers as H
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations")
 
 
 def test_licences_are_found_and_inherited(spark):
