@@ -281,7 +281,7 @@ def _scored_rows(model, **options) -> Query:
 def _planted_rows(spark, sf):
     """Feature rows of all rated pairs, with a label that follows from them but for a tenth of noise; the hold-out apart.
 
-    The tables' own stars are drawn at random, so no model can beat their mean.
+    The tables' own stars are drawn at random, so a model need not beat their mean.
     """
     rows = X.feature_table(
         T.ratings(spark, sf).select(*PAIR, (F.col("rated_at.o_orderdate") < F.lit(T.HOLDOUT_FROM).cast("timestamp_ntz")).alias("train")),
