@@ -29,11 +29,15 @@ def labelled_texts(
 
 
 def sigmoid_score(docs: DataFrame, text_col: str, score, name: str | None = None) -> DataFrame:
-    """``docs`` with a score in 0 to 1 from ``score(column of texts) -> array``."""
+    """``docs`` with a score in 0 to 1 from ``score(column of texts) -> array``.
+
+    The score is the last column, ``score`` or ``name``; if ``docs`` has a
+    column of that name, which stays, a suffix is added.  All rows stay.
+    """
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    name = name or free_name(docs, "score")
+    name = free_name(docs, name or "score")
     at = docs.columns.index(text_col)
 
     def run(batches):

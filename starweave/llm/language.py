@@ -1,9 +1,11 @@
 """Language: a bidirectional gated recurrent network over bytes.
 
-Texts are cut into stretches of ``STRETCH`` bytes that run through the
-network side by side; every byte gets a probability for each language, and a
-document's probabilities are their mean.  The network is trained in numpy by
-backpropagation through time.
+Every byte of a text gets a probability for each language, and a document's
+probabilities are their mean.  Texts run through the network in windows that
+lie side by side and overlap: the first and last ``WARM`` bytes of a window
+only bring the state up and are labelled by its neighbours.  The network is
+trained in numpy by backpropagation through time, on stretches of ``STRETCH``
+bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from starweave.llm.common import blocks, bounded_sample, free_name, text_bytes
 
 #: Documents that are learnt from at most, stretches of each; bytes of a stretch; hidden units for each direction.
 TRAINING_ROWS, STRETCHES, STRETCH, HIDDEN = 3_000, 8, 64, 8
-#: Stretches that run side by side; training batches and their size.
+#: Bytes that a window labels, and bytes before and behind them within the document.
+LABELLED, WARM = 112, 8
+#: Windows that run side by side; training batches and their size.
 SIDE_BY_SIDE, STEPS, BATCH = 4096, 200, 512
 UNKNOWN = "und"
 
@@ -56,6 +60,25 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, length, doc
 
 
+def windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in rows, the first labelled place and the number of labelled places in each row, and its document.
+
+    Every byte is labelled in one row.  Zeros stand behind a document's end.
+    """
+    width, size = LABELLED + 2 * WARM, np.diff(bounds)
+    rows = -(-size // LABELLED)
+    doc = np.repeat(np.arange(len(size)), rows)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)
+    first = np.where(nth > 0, WARM, 0)
+    start = bounds[doc] + nth * LABELLED
+    left = bounds[doc + 1] - start
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, width)[start - first] if len(start) else np.zeros((0, width), np.uint8)
+    out, short = out.copy(), np.flatnonzero(first + left < width)
+    out[short] *= np.arange(width)[None, :] < (first + left)[short, None]
+    return out, first, np.minimum(LABELLED, left), doc
+
+
 def _run(x: np.ndarray, d: Direction, order: range, logits: np.ndarray, keep: list | None = None) -> None:
     """Carry the state over the bytes ``x`` (positions x rows) in ``order`` and add its logits."""
     n, units = x.shape[1], d.hidden.shape[0]
@@ -93,14 +116,13 @@ def position_probabilities(net: Network, x: np.ndarray) -> np.ndarray:
 
 def document_probabilities(net: Network, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Mean over all bytes of each document; a document without bytes gets zeros."""
-    x, length, doc = stretches(data, bounds)
+    x, first, length, doc = windows(data, bounds)
     total = np.zeros((len(bounds) - 1, len(net.languages)))
+    place = np.arange(LABELLED + 2 * WARM)[:, None]
     for a in range(0, len(x), SIDE_BY_SIDE):
-        part, size = x[a : a + SIDE_BY_SIDE], length[a : a + SIDE_BY_SIDE]
-        p = position_probabilities(net, part)
-        if size.min() < STRETCH:
-            p *= (np.arange(STRETCH)[:, None] < size[None, :])[:, :, None]
-        rows = p.sum(axis=0)
+        part, begin, size = (v[a : a + SIDE_BY_SIDE] for v in (x, first, length))
+        labelled = (place >= begin[None, :]) & (place < (begin + size)[None, :])
+        rows = np.einsum("tnk,tn->nk", position_probabilities(net, part), labelled.astype(np.float32))
         for k in range(total.shape[1]):
             total[:, k] += np.bincount(doc[a : a + SIDE_BY_SIDE], rows[:, k], minlength=len(total))
     return total / np.maximum(np.diff(bounds), 1)[:, None]

@@ -34,8 +34,8 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Cosine at least; characters up to which any file with a licence is a licence file; cosine of a whole text at least.
-THRESHOLD, FILE_CHARS, FULL_THRESHOLD = 0.7, 600, 0.85
+#: Cosine at least; cosine of a whole text at least.
+THRESHOLD, FULL_THRESHOLD = 0.7, 0.85
 #: Names of licence files, of any length.
 NAMED = r"(?i)(^|/)([a-z0-9]+-)?(licen[cs]e|copying|unlicen[cs]e)(-[^/.]*(\.[0-9]+)*|\.lesser)?(\.(txt|md|rst))?$"
 #: What parts passages, and what parts words after A-Z became a-z.
@@ -175,6 +175,11 @@ def whole_licence(text: Column, full: dict[str, str] | None = None, threshold: f
     ))
 
 
+def filled_passages(text: Column) -> Column:
+    """Passages with a word in them; null: 0."""
+    return F.coalesce(F.size(F.filter(F.split(text, PASSAGES), lambda p: p.rlike("[A-Za-z0-9]"))), F.lit(0))
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest last, as ``depth, directory``."""
     parts = F.split(path, "/")
@@ -185,7 +190,7 @@ def ancestors(path: Column) -> Column:
 
 def scan_licences(
     files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None,
-    threshold: float = THRESHOLD, file_chars: int = FILE_CHARS, full: dict[str, str] | None = None,
+    threshold: float = THRESHOLD, full: dict[str, str] | None = None,
 ) -> DataFrame:
     """``path, licence, score, origin, directory`` of every path.
 
@@ -193,8 +198,8 @@ def scan_licences(
     one inherited from.  A text that is a whole licence text (``full``: the
     words of each) has that licence, whatever single sentences say.  Licence
     files are such texts and, with their own licence, files whose name says
-    so, of any length, and files of at most ``file_chars`` characters.  Of
-    several in a directory the former two go first, then the best score
+    so and files that hold nothing but one passage, whatever their length.
+    Of several in a directory the former two go first, then the best score
     counts, then the first path.  Licences of directories are joined by
     directory name; hot directories are on the side that is streamed.  A
     path without a directory inherits nothing; null paths are one row without
@@ -203,12 +208,12 @@ def scan_licences(
     own = own_licences(files, path_col, text_col, templates, threshold)
     text = F.col(text_col).cast("string")
     sizes = files.select(
-        F.col(path_col).alias("path"), F.coalesce(F.char_length(text), F.lit(0)).alias("size"), whole_licence(text, full).alias("whole")
+        F.col(path_col).alias("path"), filled_passages(text).alias("size"), whole_licence(text, full).alias("whole")
     )
     listed = staged(
         sizes.groupBy("path").agg(F.sum("size").alias("size"), F.min("whole").alias("whole")).join(own, "path", "left").select(
             "path", F.coalesce("whole.licence", "licence").alias("licence"), F.coalesce(-F.col("whole.score"), "score").alias("score"), "size",
-            F.when(F.col("whole").isNotNull() | F.col("path").rlike(NAMED), 0).when(F.col("size") <= file_chars, 1).alias("gives"),
+            F.when(F.col("whole").isNotNull() | F.col("path").rlike(NAMED), 0).when(F.col("size") == 1, 1).alias("gives"),
         ),
         "listed",
     )

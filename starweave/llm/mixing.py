@@ -54,26 +54,17 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, mos
     )
 
 
-def mix(
+def _dealt(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[float, ...] = WEIGHTS, most: float = MOST,
 ) -> DataFrame:
-    """``id, source, size, source_size, target, taken`` for each row of ``docs``.
-
-    ``taken`` counts the words that the mix takes, repeats counted: whole
-    epochs of the source first, then documents in the order of their keys
-    up to the exact budget (the target, rounded); the document at the cut
-    gives only its first words.  The key is the MD5 of the id, so reruns
-    agree; rows of equal key stand by size, and rows equal in both share the
-    cut in no particular order.  Null ids count as the empty text, null
-    sources are a source of their own, texts without words have size 0 and
-    give nothing.
-    """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    """What ``mix`` returns, with a hash of the text in ``mark``."""
+    text = F.col(text_col).cast("string")
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), text, F.lit("")).cast("binary"))
     rows = staged(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"), key.alias("key"),
+            word_count(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("mark"),
         ),
         "sizes",
     )
@@ -95,7 +86,7 @@ def mix(
         F.col("source").alias("name"), F.col("range").alias("part"),
         F.coalesce(F.sum("sum").over(in_source), F.lit(0)).alias("offset"),
     )
-    within = Window.partitionBy("source", "range").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "size", "id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.join(offsets, F.expr("name <=> source and part = range")).withColumn(
         "before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     )
@@ -103,27 +94,49 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "mark")
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    weights: tuple[float, ...] = WEIGHTS, most: float = MOST,
+) -> DataFrame:
+    """``id, source, size, source_size, target, taken`` for each row of ``docs``.
+
+    ``taken`` counts the words that the mix takes, repeats counted: whole
+    epochs of the source first, then documents in the order of their keys
+    up to the exact budget (the target, rounded); the document at the cut
+    gives only its first words.  The key is the MD5 of the id, or of the text
+    where the id is null, so reruns agree and rows without id spread over
+    the ranges.  Rows of equal key stand by size, then by a hash of the
+    text; what is equal in all of them is the same row to the mix.  Null
+    sources are a source of their own, texts without words have size 0 and
+    give nothing.
+    """
+    return _dealt(docs, id_col, source_col, text_col, weights, most).drop("mark")
 
 
 def with_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, beside ``size, source_size, target, taken``.
 
     ``taken`` over ``size`` says how often a document is repeated.  Rows
-    that repeat an id keep their own numbers as long as their sizes differ;
-    equal ones are dealt out by row number.
+    that repeat an id, or have none, keep their own numbers as long as their
+    texts differ.  Rows equal in id, source and text are dealt out in the
+    order of a hash of their other columns (maps, which have none, left
+    out), so a task that is run again deals as before.
     """
     names = [free_name(docs, n) for n in ("size", "source_size", "target", "taken")]
-    id_, number, size = (free_name(docs, n) for n in ("mix_id", "mix_row", "mix_size"))
-    order = Window.partitionBy(id_, source_col, size).orderBy(id_)
-    left = docs.withColumn(id_, F.col(id_col)).withColumn(size, word_count(F.col(text_col))).withColumn(number, F.row_number().over(order))
-    got = mix(docs, id_col, source_col, text_col)
-    got = got.withColumn("row", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("taken"))).select(
+    id_, number, mark, other = (free_name(docs, n) for n in ("mix_id", "mix_row", "mix_mark", "mix_other"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    left = docs.withColumns({id_: F.col(id_col), mark: F.xxhash64(F.col(text_col).cast("string")), other: F.xxhash64(*hashed)})
+    left = left.withColumn(number, F.row_number().over(Window.partitionBy(id_, source_col, mark).orderBy(other)))
+    got = _dealt(docs, id_col, source_col, text_col)
+    got = got.withColumn("row", F.row_number().over(Window.partitionBy("id", "source", "mark").orderBy("taken"))).select(
         *[F.col(c).alias(f"got_{c}") for c in got.columns], F.col("row").alias("got_row")
     ).where("got_taken > 0")
     on = (
         F.col("got_id").eqNullSafe(F.col(id_)) & F.col("got_source").eqNullSafe(F.col(source_col).cast("string"))
-        & (F.col("got_size") == F.col(size)) & (F.col("got_row") == F.col(number))
+        & (F.col("got_mark") == F.col(mark)) & (F.col("got_row") == F.col(number))
     )
     return left.join(got, on).select(
         *docs.columns, *[F.col(f"got_{c}").alias(n) for c, n in zip(("size", "source_size", "target", "taken"), names)]

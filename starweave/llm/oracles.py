@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from starweave.llm.licence_texts import FULL_TEXTS
-from starweave.llm.licences import FILE_CHARS, FULL_THRESHOLD, NAMED, TEMPLATES
+from starweave.llm.licences import FULL_THRESHOLD, NAMED, TEMPLATES
 
 _SUBSTRINGS = r"""
 WITH docs AS (
@@ -107,7 +107,8 @@ sets AS (
   ) WHERE r = 1
 ), listed AS (
   SELECT doc_id, docs.path, coalesce(whole, licence) AS licence, coalesce(whole_score, score) AS score,
-    CASE WHEN whole IS NOT NULL OR regexp_matches(docs.path, '%(named)s') THEN 0 WHEN length(text) <= %(file_chars)s THEN 1 END AS gives
+    CASE WHEN whole IS NOT NULL OR regexp_matches(docs.path, '%(named)s') THEN 0
+      WHEN len(list_filter(regexp_split_to_array(text, '\n|[.!?]+ '), lambda p: regexp_matches(p, '[A-Za-z0-9]'))) = 1 THEN 1 END AS gives
   FROM docs LEFT JOIN own USING (path) LEFT JOIN whole USING (path)
 ), given AS (
   SELECT directory, licence AS given FROM (
@@ -125,13 +126,13 @@ LEFT JOIN given a ON a.directory = ups.near_ LEFT JOIN given b ON b.directory =
 """ % {
     "templates": ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items()),
     "full": ", ".join(f"('{name}', {sorted(set(listed.split()))})" for name, listed in FULL_TEXTS.items()),
-    "full_threshold": FULL_THRESHOLD, "named": NAMED, "file_chars": FILE_CHARS,
+    "full_threshold": FULL_THRESHOLD, "named": NAMED,
     "template_text": _PLAIN.format("text"), "text": _PLAIN.format("text"), "passage": _PLAIN.format("passage"),
 }
 
 _MIXING = r"""
 WITH RECURSIVE sizes AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
     CAST([1, 2, 3][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3) + 1] AS DOUBLE) AS weight
@@ -152,7 +153,7 @@ WITH RECURSIVE sizes AS (
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.budget,
     coalesce(sum(s.size) OVER (
-      PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.size, s.doc_id
+      PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), s.text, '')), s.size, s.doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )

@@ -17,7 +17,6 @@ words also start in a document of smaller id.  Three steps:
 
 from __future__ import annotations
 
-import hashlib
 from typing import NamedTuple
 
 import ahocorasick
@@ -293,5 +292,3 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
-
-__all__ = ["cut_repeats", "sha256_hex", "hashlib"]

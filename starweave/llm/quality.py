@@ -168,5 +168,9 @@ def scorer(model: Model):
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", name: str | None = None) -> DataFrame:
-    """``docs`` with a score of 0 to 1, higher where label 1 is likelier; no shuffle."""
+    """``docs`` with a score of 0 to 1, higher where label 1 is likelier; no shuffle.
+
+    Null texts score as the empty text, equal texts alike.  The score is the
+    last column, ``score`` or ``name``, with a suffix if ``docs`` has it.
+    """
     return sigmoid_score(docs, text_col, scorer(model), name)

@@ -96,10 +96,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def spans(text: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind.  A random string that a base span holds whole is not named again."""
-    found = base_spans(text)
+    """All spans by start, then kind.  A random string that a base span holds whole is not named again.
+
+    Both lists go by start, so one pass over them tells: of the base spans
+    that start no later, the one that reaches furthest holds it or none does.
+    """
+    base = sorted(base_spans(text), key=lambda s: s[1])
+    found, at, reach = list(base), 0, 0
     for a, b in random_spans(text, encoding, ratio):
-        if not any(x <= a and b <= y for _, x, y in found):
+        while at < len(base) and base[at][1] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < b:
             found.append(("random", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -114,14 +122,17 @@ def _found(column: pa.Array, own: Scanner, encoding: tiktoken.Encoding) -> list[
     return [spans(column[i].as_py(), encoding, own.ratio) if w else [] for i, w in enumerate(worth)]
 
 
-def scan(docs: DataFrame, text_col: str = "text", own: Scanner | None = None, name: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", own: Scanner | None = None, name: str | None = None) -> DataFrame:
     """``docs`` with a list of ``kind, start, stop`` for each text, in code points, stop exclusive.
 
     Kinds are ``assign``, ``access`` and ``hex`` (fixed patterns) and
     ``random`` (token efficiency).  Null texts are empty and have none.  Each
-    row is looked at on its own; nothing is shuffled.
+    row is looked at on its own, repeated rows too; nothing is shuffled.  The
+    list is the last column, ``spans`` or ``name``; if ``docs`` has a column
+    of that name, which stays, a suffix is added.
     """
     own = own or scanner()
+    name = free_name(docs, name or "spans")
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(SPAN))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -153,7 +164,8 @@ def redact_text(text: str, found: list[tuple[str, int, int]], mark: str = REDACT
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", own: Scanner | None = None) -> DataFrame:
     """``docs`` with secrets replaced by a mark and the length column counted anew; columns unchanged.
 
-    Rows without a secret stay as they are.  All rows stay.
+    Rows without a secret, null and empty texts stay as they are.  All rows
+    stay, repeated ones and those without id too; no column is added.
     """
     own = own or scanner()
     at = docs.columns.index(text_col)
@@ -190,5 +202,3 @@ def joined(found, kinds: tuple[str, ...] | None = None):
 def count_of(found, kind: str):
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
-
-__all__ = ["scan", "redact", "scanner", "joined", "count_of", "free_name"]

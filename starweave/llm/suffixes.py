@@ -196,7 +196,7 @@ def _batches_with_matches(batches: Iterator[pa.RecordBatch], asked: Tests, text:
 
 def verbatim_matches(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, words_name: str = "n_words", matches_name: str = "matches",
+    item_text_col: str = "text", window: int = WINDOW, words_name: str | None = None, matches_name: str | None = None,
 ) -> DataFrame:
     """``docs`` with the number of words and all longest matches of at least ``window`` words.
 
@@ -206,8 +206,11 @@ def verbatim_matches(
     are not shuffled.  Benchmark text is handed to the tasks in blocks of at
     most ``BENCHMARK_BYTES`` (one pass over the documents for each).  Null
     texts have no words, a null item id is the empty id, an empty benchmark
-    matches nothing, items that repeat match each on its own.
+    matches nothing, items that repeat match each on its own.  The two columns
+    are the last ones, ``n_words`` and ``matches`` unless named otherwise; if
+    ``docs`` has a column of that name, which stays, a suffix is added.
     """
+    words_name, matches_name = free_name(docs, words_name or "n_words"), free_name(docs, matches_name or "matches")
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")
     ).where("text is not null")
@@ -246,7 +249,11 @@ def covered(matches: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark stands, columns unchanged."""
+    """The rows of ``docs`` in which no window of the benchmark stands, columns unchanged.
+
+    Null and empty texts stay, repeated rows and rows without id are judged
+    like any other.
+    """
     words, matches = free_name(docs, "n_words"), free_name(docs, "matches")
     found = verbatim_matches(docs, benchmark, text_col, window=window, words_name=words, matches_name=matches)
     return found.where(F.size(matches) == 0).select(*docs.columns)

@@ -22,8 +22,8 @@ from starweave.llm.labelled import labelled_texts, sigmoid_score
 TRAINING_ROWS, LENGTHS, BITS = 12_000, (3, 4, 5, 6), 20
 #: Bytes of documents whose n-grams are held at once; a longer document stands alone.
 BLOCK = 1 << 17
-#: Standard deviations between the classes' shares below which an n-gram has no weight; most n-grams with weight.
-SIGNIFICANT, MOST = 5.0, 4096
+#: Standard deviations between the classes' shares below which an n-gram has no weight: of all buckets, less than one by chance.
+SIGNIFICANT = 5.0
 THRESHOLD = 0.7
 
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -129,8 +129,7 @@ def train(sample: DataFrame) -> Model:
     share = (c0 + c1) / (n0 + n1)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
     z[c0 + c1 == 0] = 0
-    order = np.argsort(-z, kind="stable")[:MOST]
-    chosen = np.sort(order[z[order] > SIGNIFICANT])
+    chosen = np.flatnonzero(z > SIGNIFICANT)
     p, q = 1 + c1, 1 + c0
     ratio = np.log(p / p.sum() * (q.sum() / q))[chosen]
     place = np.full(size, -1)
@@ -185,5 +184,10 @@ def toxicity_model(
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", name: str | None = None) -> DataFrame:
-    """``docs`` with a score of 0 to 1, higher where toxic is likelier; no shuffle."""
+    """``docs`` with a score of 0 to 1, higher where toxic is likelier; no shuffle.
+
+    Null and empty texts have no n-grams and get the score of the bias;
+    equal texts have equal scores.  The score is the last column, ``score``
+    or ``name``, with a suffix if ``docs`` has that column.
+    """
     return sigmoid_score(docs, text_col, scorer(model), name)

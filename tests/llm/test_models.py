@@ -101,6 +101,75 @@ def test_grams_do_not_cross_documents():
     assert len(grams("abcdefg")) == 5 + 4 + 3 + 2
 
 
+def test_language_probabilities_equal_a_plain_walk(monkeypatch):
+    """Byte by byte, with state carried from the start of each window; no byte is labelled twice or not at all."""
+    monkeypatch.setattr(language, "LABELLED", 7)
+    monkeypatch.setattr(language, "WARM", 3)
+    draw, units, names = np.random.default_rng(4), 2, ["a", "b", "c"]
+    side = lambda: language.Direction(*[draw.normal(0, 0.7, s).astype(np.float32) for s in ((256, 3 * units), (units, 3 * units), (units, 3))])
+    net = language.Network(side(), side(), draw.normal(0, 1, 3).astype(np.float32), names)
+    sigmoid = lambda v: (1 + np.tanh(v)) / 2  # noqa: E731  halves are in the weights
+
+    def walk(d, data):
+        h, out = np.zeros(units), []
+        for byte in data:
+            inputs, inner = d.byte[byte], h @ d.hidden
+            z, r = sigmoid(inputs[:units] + inner[:units]), sigmoid(inputs[units : 2 * units] + inner[units : 2 * units])
+            h = (1 - z) * h + z * np.tanh(inputs[2 * units :] + r * inner[2 * units :])
+            out.append(h @ d.out)
+        return out
+
+    texts = ["", "x", "seven b", "eight by", "ünï çödé text over some windows, with more of it", "0123456789abcd"]
+    data, bounds = language.text_bytes(language.pa.array(texts))
+    got = language.document_probabilities(net, data, bounds)
+    for text, row in zip(texts, got):
+        raw, total, n = text.encode(), np.zeros(3), 0
+        for start in range(0, len(raw), 7):
+            a = max(start - 3, 0)
+            window = (raw[a:] + bytes(30))[: 13] if start + 10 <= len(raw) else raw[a:] + bytes(13 - len(raw[a:]))
+            logits = np.array(walk(net.forward, window)) + np.array(walk(net.backward, window[::-1]))[::-1] + net.bias
+            p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+            places = range(start - a, min(start + 7, len(raw)) - a)
+            total, n = total + p[list(places)].sum(axis=0), n + len(places)
+        assert n == len(raw)
+        assert row == pytest.approx(total / max(n, 1), abs=1e-5)
+
+
+def test_toxicity_score_equals_plain_sums(spark):
+    """Each distinct n-gram of the lower-cased bytes adds its bucket's weight once."""
+    draw = np.random.default_rng(2)
+    weight = draw.normal(0, 0.1, 1 << toxicity.BITS).astype(np.float32)
+    weight[draw.random(len(weight)) < 0.5] = 0
+    texts = ["You are an IDIOT\tidiot", "", None, "ab", "abc", "çé ünï " * 5, "aaaaaaaaaa", "long words " * 2000]
+
+    def bucket(gram):
+        key = 0
+        for byte in gram:
+            key = (key * 0x01000193 + (32 if 9 <= byte <= 13 else byte + 32 if 65 <= byte <= 90 else byte) + 1) % (1 << 32)
+        key = ((key ^ (key >> 15)) * 0x85EBCA6B + len(gram) * 0x27D4EB2F) % (1 << 32)
+        return (key * 0xC2B2AE35 % (1 << 32)) >> (32 - toxicity.BITS)
+
+    scored = toxicity.score_toxicity(H.frame(spark, list(enumerate(texts))), toxicity.Model(weight, -0.3))
+    for r in scored.collect():
+        raw = (r["text"] or "").encode()
+        found = {bucket(raw[i : i + n]) for n in toxicity.LENGTHS for i in range(len(raw) - n + 1)}
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(0.3 - sum(float(weight[b]) for b in found))), abs=1e-6)
+
+
+def test_log_count_ratios_and_significance(spark):
+    """Weighted n-grams are just those whose shares in the classes differ significantly; ratios have the sign of the difference."""
+    rows = [(i, ("common words " + ("vile" if i % 3 == 0 else "fine") + f" {i % 7}")) for i in range(120)]
+    sample = H.frame(spark, rows).select("text", (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
+    model = toxicity.train(sample)
+    import pyarrow as pa
+
+    from starweave.llm.common import text_bytes
+
+    buckets = lambda t: {int(b) for n in toxicity.gram_buckets(*text_bytes(pa.array([t]))) for b in n[0]}
+    assert all(model.weight[b] > 0 for b in buckets("vile")) and all(model.weight[b] < 0 for b in buckets("fine"))
+    assert not any(model.weight[b] for b in buckets("common words"))
+
+
 def test_nothing_to_learn_from(spark):
     docs = H.frame(spark, [(1, "a text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

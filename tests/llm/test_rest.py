@@ -2,6 +2,7 @@
 
 import collections
 import importlib
+import random
 import re
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starweave.llm import licences, mixing, phrases, queries, secrets, simhash, sketches, suffixes
+from starweave.llm import language, licences, mixing, phrases, quality, queries, secrets, simhash, sketches, suffixes, toxicity
 from starweave.llm.common import bounded_sample
 from starweave.llm.licence_texts import FULL_TEXTS
 from tests.compare import check
@@ -21,12 +22,12 @@ TABLES = ("documents", "benchmark", "labels", "conversations")
 
 def test_licences_are_found_and_inherited(spark):
     rows = [
-        ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x", "no notice\nat all"), ("a/b/y", "Licensed under the Apache License, Version 2.0.\ncode"),
+        ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x", "no notice\nat all"), ("a/b/c/y", "a header speaks for its file only"), ("a/b/y", "Licensed under the Apache License, Version 2.0.\ncode"),
         ("a/d/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("a/d/e/z", "text"), ("q/z", None), ("top", "text"),
     ]
     got = {r["path"]: (r["licence"], r["origin"], r["directory"]) for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {
-        "a/LICENSE": ("MIT", "own", None), "a/b/c/x": ("Apache-2.0", "inherited", "a/b"), "a/b/y": ("Apache-2.0", "own", None),
+        "a/LICENSE": ("MIT", "own", None), "a/b/c/x": ("MIT", "inherited", "a"), "a/b/c/y": ("MIT", "inherited", "a"), "a/b/y": ("Apache-2.0", "own", None),
         "a/d/LICENSE": ("GPL-3.0", "own", None), "a/d/e/z": ("GPL-3.0", "inherited", "a/d"), "q/z": (None, "none", None), "top": (None, "none", None),
     }
 
@@ -34,14 +35,17 @@ def test_licences_are_found_and_inherited(spark):
 def test_notices_that_many_files_share_are_found(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [(f"d{i}/f", [mit, apache, "no notice"][i % 3] + f"\nbody {i} of its own words") for i in range(60)]
-    rows.append(("d0/e/x", "nothing"))
+    rows += [("d0/e/x", "nothing"), ("g/notice", mit), ("g/h/x", "nothing")]
     got = {r["path"]: r for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     for i in range(60):
         r = got[f"d{i}/f"]
         assert (r["licence"], r["score"], r["origin"]) == [("MIT", 1.0, "own"), ("Apache-2.0", 1.0, "own"), (None, None, "none")][i % 3]
-    assert (got["d0/e/x"]["licence"], got["d0/e/x"]["origin"], got["d0/e/x"]["directory"]) == ("MIT", "inherited", "d0")
+    # a file with a body speaks for itself only, however short; one that is the notice speaks for its directory
+    assert (got["d0/e/x"]["licence"], got["d0/e/x"]["origin"]) == (None, "none")
+    assert (got["g/h/x"]["licence"], got["g/h/x"]["origin"], got["g/h/x"]["directory"]) == ("MIT", "inherited", "g")
 
 
+# Fixed value: the public text of the MIT licence.
 FULL_MIT = """MIT License
 
 Copyright (c) 2024 Some One and Others
@@ -133,6 +137,51 @@ def test_secret_scan_equals_brute_force_and_adds_random_strings(spark):
     assert set(added) == {10}
 
 
+def test_spans_of_both_kinds_equal_plain_comparison_of_all(monkeypatch):
+    """Random strings within, over the edge of and apart from fixed patterns, in one long text."""
+    own, draw = secrets.scanner(), random.Random(5)
+    encoding, letters = own.encoding(), "XkqZvBmTwRyLpNsDfGhJ0123456789"
+    parts = []
+    for _ in range(1500):
+        word = "".join(draw.choice(letters) for _ in range(draw.randint(18, 40)))
+        parts.append(draw.choice([word, f"token={word}", f"secret: token={word}", f"AKIA{word.upper()}", f"{word}AKIA{word.upper()}", "0a1b2c3d" * 4, "plain words"]))
+    text = " ".join(parts)
+    base = secrets.base_spans(text)
+    expected = base + [("random", a, b) for a, b in secrets.random_spans(text, encoding, own.ratio) if not any(x <= a and b <= y for _, x, y in base)]
+    assert secrets.spans(text, encoding, own.ratio) == sorted(expected, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    assert {k for k, _, _ in expected} == set(secrets.KINDS)
+
+
+def test_random_spans_equal_their_rule():
+    """Every candidate by a plain walk over the characters, its tokens counted one by one."""
+    own = secrets.scanner()
+    encoding, allowed = own.encoding(), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+    def runs(text, chars, shift=0):
+        out, a = [], None
+        for i, c in enumerate(text + " "):
+            if c in chars:
+                a = i if a is None else a
+            elif a is not None:
+                out, a = out + [(a + shift, i + shift)] * (i - a >= 20), None
+        return out
+
+    def random_(word):
+        digest = len(word) in (32, 40, 56, 64, 96, 128) and (set(word) <= set("0123456789abcdef") or set(word) <= set("0123456789ABCDEF"))
+        uuid_ = [len(p) for p in word.split("-")] == [8, 4, 4, 4, 12] and set(word.lower()) <= set("0123456789abcdef-")
+        number = word[:2].lower() == "0x" and set(word[2:].lower()) <= set("0123456789abcdef")
+        return any(c.isalpha() for c in word) and not (digest or uuid_ or number) and len(word) / len(encoding.encode_ordinary(word)) < 2.2
+
+    for text in [*RANDOM, *(t or "" for t in SECRETS), *(t for _, t in H.corpus())]:
+        expected = []
+        for a, b in runs(text, allowed):
+            if random_(text[a:b]):
+                expected.append((a, b))
+            elif "/" in text[a:b]:
+                expected += [(x, y) for x, y in runs(text[a:b], allowed - {"/"}, a) if random_(text[x:y])]
+        assert secrets.random_spans(text, encoding, own.ratio) == expected
+
+
 RANDOM = {
     "auth:Xk9qZ7vB2mT4wR8yL3pN6sD1": ["Xk9qZ7vB2mT4wR8yL3pN6sD1"],
     "user:Xk9qZ7vB2mT4wR8yL3pN6sD1@host": ["Xk9qZ7vB2mT4wR8yL3pN6sD1"],
@@ -190,27 +239,79 @@ def _apply(name, spark, docs, tables):
         return suffixes.verbatim_matches(docs, bench)
     if name == "secrets":
         return secrets.scan(docs)
+    if name == "redact":
+        return secrets.redact(docs)
+    if name == "with_mix":
+        return mixing.with_mix(docs)
+    if name == "clean":
+        return suffixes.decontaminate(docs, bench)
+    if name == "quality":
+        return quality.score_quality(docs, quality.quality_model(docs, labels), name="score")
+    if name == "toxicity":
+        return toxicity.score_toxicity(docs, toxicity.toxicity_model(docs, labels), name="score")
+    if name == "language":
+        return language.predict_language(docs, language.language_model(docs))
     return sketches.fingerprints_with_edit(docs)
 
 
-NAMES = ("mix", "licences", "near", "one", "cut", "matches", "secrets", "sketches")
+NAMES = ("mix", "licences", "near", "one", "cut", "matches", "secrets", "sketches", "redact", "with_mix", "clean", "quality", "toxicity", "language")
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows_and_clashing_columns(spark, name):
     docs = H.frame(spark, ODD)
-    for extra in ("matches", "n_words", "spans", "score", "place", "key", "component_id", "taken"):
-        if not (name in ("matches", "secrets") and extra in ("matches", "n_words", "spans")):
-            docs = docs.withColumn(extra, F.lit("mine"))
+    extras = ("matches", "n_words", "spans", "score", "lang_pred", "place", "key", "component_id", "taken", "size", "mark", "y", "id")
+    for extra in extras:
+        docs = docs.withColumn(extra, F.lit("mine"))
     bench = spark.createDataFrame([(1, "long " * 12), (None, None)], "item_id long, text string")
-    n = _apply(name, spark, docs, (bench, None)).count()
-    assert n == {"one": 7, "licences": 8}.get(name, len(ODD))
+    out = _apply(name, spark, docs, (bench, _labels(spark))).toPandas()
+    # with_mix: null and empty texts give nothing; clean: one text holds the benchmark's words
+    assert len(out) == {"one": 7, "licences": 8, "with_mix": 7, "clean": 8}.get(name, len(ODD))
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    if name in KEEPS:
+        assert (out[list(extras)] == "mine").all().all() and list(out.columns[: len(docs.columns)]) == docs.columns
+
+
+#: What keeps the columns of the documents.
+KEEPS = ("one", "matches", "secrets", "redact", "with_mix", "clean", "quality", "toxicity", "language")
+
+
+def _labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, 1), (3, 1, 0), (None, 1, 1), (7, 0, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(spark, name):
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert _apply(name, spark, H.frame(spark, []), (bench, None)).count() == 0
+    assert _apply(name, spark, H.frame(spark, []), (bench, _labels(spark).limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_take_odd_rows_and_empty_tables(spark, monkeypatch, rows):
+    small = {"labels": _labels(spark), "benchmark": spark.createDataFrame([(1, "long " * 12), (None, None)], "item_id long, text string")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: small[name] if rows else small[name].limit(0))
+    docs = H.frame(spark, rows).withColumn("spans", F.lit("mine")).withColumn("size", F.lit("mine")).withColumn("score", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.staged(stage(spark, docs, ""), name)
+        assert kept.columns[: len(docs.columns)] == docs.columns
+        assert name == "mixing" or kept.columns == docs.columns
+        if rows and name != "toxicity":
+            texts = {r["text"] for r in kept.collect()}
+            assert "a null id " * 6 in texts and ("long " * 30000 in texts) == (name == "near_dedup")
+        docs = kept if name != "toxicity" else docs
+
+
+def test_mix_tells_rows_without_id_apart(spark):
+    """Rows without id get what the mix gives to their text, in whatever order they come."""
+    rows = [(None, f"{'w ' * (1 + i % 4)}own{i}", "x") for i in range(80)] + [(None, "same words", "x")] * 6 + [(5, "a b", "x"), (5, "c d", "x")]
+    docs = H.frame(spark, rows + [(i, "much more text here", "y") for i in range(9)]).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    given = []
+    for frame in (docs, docs.repartition(5).sort(F.desc("text")), docs.coalesce(1)):
+        given.append(sorted((r["text"], r["size"], r["taken"]) for r in mixing.with_mix(frame).collect()))
+    assert given[0] == given[1] == given[2]
+    plain = mixing.mix(docs)
+    assert sum(t for *_, t in given[0]) == plain.agg(F.sum("taken")).first()[0]
+    assert plain.select("id", "taken").where("id is null").distinct().count() > 1
 
 
 def test_samples_are_bounded_and_the_same_again(spark):
