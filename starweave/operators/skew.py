@@ -2,8 +2,8 @@
 
 Hot keys are measured with one partially aggregated pass.  For each key set
 at most ``Tuning.hot_keys`` of them come to the driver and are broadcast
-again.  A key that is not on the list has at most as many rows as the least
-key on it; all such keys are split as if they had that many.  So a list that
+again.  How many rows a key outside the list has at most is known too; all
+such keys are split as if they had that many.  So a list that
 is too short costs copies of the small side, never an unsplit hot key.  Where
 nothing needs splitting the plain join is planned.
 """
@@ -13,17 +13,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from starweave.settings import DEFAULT_TUNING, Tuning
 
 _SLOT, _SLOT_L, _SLOT_R = "_slot", "_slot_l", "_slot_r"
 _N, _SPLITS = "_n", "_splits"
+_SET, _CLASS = "_set", "_class"
+#: Classes of counts for each doubling: counts of a class differ by less than a tenth.
+_CLASSES = 8
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The most frequent keys of a relation, with their row counts.
+    """Frequent keys of a relation, with their row counts.
 
     ``rest`` is the most rows that a key outside the list may have, as far
     as that matters for splitting.
@@ -46,27 +49,43 @@ class HotKeys:
 
 
 def measure_hot(frame: DataFrame, *key_sets: Sequence[str], tuning: Tuning = DEFAULT_TUNING) -> list[HotKeys]:
-    """Hot keys for several key column sets, in one pass over ``frame``; each set has its own limit."""
+    """Hot keys for several key column sets, in one pass over ``frame``; each set has its own limit.
+
+    Keys are never ranked.  They fall into classes of about equal counts, and
+    a histogram of the classes (some hundred rows, added up in each task)
+    says down to which class the list takes all keys.  Of the first class
+    that does not fit, any keys fill the list up; its largest count bounds
+    all keys outside.  So no task gets more than its share of the keys, and
+    the driver gets the histogram and ``hot_keys`` keys of each set.
+    """
     columns = list(dict.fromkeys(c for keys in key_sets for c in keys))
-    narrow = frame.select(*columns)
-    counted = narrow.groupingSets(
+    counted = frame.select(*columns).groupingSets(
         [[F.col(c) for c in keys] for keys in key_sets], *[F.col(c) for c in columns]
-    ).agg(F.count("*").alias(_N), F.grouping_id().alias("_set"))
-    # each task cuts its rows to the limit of a set before they are shuffled
-    place = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc(_N), *columns))
-    found = (
-        counted.where(F.col(_N) > tuning.hot_from)
-        .withColumn("_place", place).where(F.col("_place") <= tuning.hot_keys)
-        .collect()
-    )
-    result = []
-    for keys in key_sets:
-        # grouping_id has a 1 bit for every column that is not in the set
-        mask = int("".join("0" if c in keys else "1" for c in columns), 2)
-        counts = {tuple(row[c] for c in keys): row[_N] for row in found if row["_set"] == mask}
-        full = len(counts) >= tuning.hot_keys
-        result.append(HotKeys(tuple(keys), counts, min(counts.values()) if full and counts else 0))
-    return result
+    ).agg(F.count("*").alias(_N), F.grouping_id().alias(_SET)).where(F.col(_N) > tuning.hot_from)
+    # few keys are hot, and they are read twice; a lost block is counted again
+    counted = counted.withColumn(_CLASS, F.floor(F.log2(_N) * _CLASSES).cast("int")).persist()
+    try:
+        classes = counted.groupBy(_SET, _CLASS).agg(F.count("*").alias("keys"), F.max(_N).alias("most")).collect()
+        return [_listed(counted, keys, columns, classes, tuning.hot_keys) for keys in key_sets]
+    finally:
+        counted.unpersist()
+
+
+def _listed(counted: DataFrame, keys: Sequence[str], columns: list[str], classes: list, limit: int) -> HotKeys:
+    """The keys of one set: whole classes from the top, then as many of the next class as there is room for."""
+    # grouping_id has a 1 bit for every column that is not in the set
+    mask = int("".join("0" if c in keys else "1" for c in columns), 2)
+    room, lowest, partly = limit, None, None
+    for c in sorted((c for c in classes if c[_SET] == mask), key=lambda c: -c[_CLASS]):
+        if c["keys"] > room:
+            partly = c
+            break
+        room, lowest = room - c["keys"], c[_CLASS]
+    of_set = counted.where(F.col(_SET) == mask).select(*keys, _N, _CLASS)
+    found = of_set.where(F.col(_CLASS) >= lowest).collect() if lowest is not None else []
+    if partly and room:
+        found += of_set.where(F.col(_CLASS) == partly[_CLASS]).limit(room).collect()
+    return HotKeys(tuple(keys), {tuple(row[k] for k in keys): row[_N] for row in found}, partly["most"] if partly else 0)
 
 
 def _routed(

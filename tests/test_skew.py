@@ -27,6 +27,35 @@ def test_measure_hot_counts_each_key_set_in_one_pass(facts):
     assert by_key.splits(50) == {("hot",): 4, (None,): 1} or by_key.splits(50)[("hot",)] == 4
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_keys_outside_the_list_have_no_more_than_the_rest(spark, limit):
+    """Counts of all sizes, many of them equal, counted by many tasks; a NULL key among them."""
+    spread = spark.range(60).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(20) + (F.col("id") % 9) * (F.col("id") % 4))).alias("v")
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        keys, pairs = K.measure_hot(spread.repartition(40), ["k"], ["k", "v"], tuning=Tuning(heavy_user=21, grid_block=21, rows_per_slot=21, hot_keys=limit))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    counts = {(r["k"],): r["count"] for r in spread.groupBy("k").count().collect()}
+    hot = {k: n for k, n in counts.items() if n > 21}
+    assert pairs.counts == {} and pairs.rest == 0
+    assert len(keys.counts) == min(limit, len(hot)) and all(counts[k] == n for k, n in keys.counts.items())
+    outside = [n for k, n in hot.items() if k not in keys.counts]
+    assert max(outside, default=0) <= keys.rest <= (1.1 * max(outside) if outside else 0)
+    # what is listed is hot as well: at most a tenth below what is not
+    assert not outside or min(keys.counts.values()) > 0.9 * max(outside)
+
+
+def test_hot_keys_are_not_ranked_in_one_task(facts, monkeypatch):
+    plans = []
+    collect = type(facts).collect
+    monkeypatch.setattr(type(facts), "collect", lambda frame: plans.append(frame._jdf.queryExecution().toString()) or collect(frame))
+    K.measure_hot(facts, ["k"], tuning=Tuning(heavy_user=1, grid_block=1, rows_per_slot=1, hot_keys=3))
+    assert plans and not any("Window" in p or "Sort [" in p for p in plans)
+
+
 def test_measure_hot_is_bounded(facts):
     (hot,) = K.measure_hot(facts, ["k"], tuning=Tuning(heavy_user=1, hot_keys=2))
     assert len(hot.counts) == 2 and ("hot",) in hot.counts
