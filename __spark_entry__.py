@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 import oracle  # noqa: E402
 from starweave import settings as S  # noqa: E402
 from starweave.operators import (  # noqa: E402
-    checkins as C, corating as K, encoding as E, evaluation as V, features as X,
+    bitmaps as B, checkins as C, corating as K, encoding as E, evaluation as V, features as X,
     models as M, neighbours as N, ratings as R, selection as L, similarity as Z,
 )
 from starweave.operators.skew import lookup_join, measure_hot  # noqa: E402
@@ -116,6 +116,10 @@ def _co_raters(spark, sf):
     return Z.popular_co_raters(T.ratings(spark, sf))
 
 
+def _common_raters(spark, sf):
+    return B.popular_common_raters(T.ratings(spark, sf), stage=parquet_stage(spark))
+
+
 def _similarity(measure: str, item: str) -> Query:
     def query(spark, sf):
         stage = parquet_stage(spark)
@@ -396,6 +400,7 @@ _QUERIES: dict[str, Query] = {
     "co_rating_stats": _co_rating_stats,
     "co_rating_stats_requested": _requested_stats,
     "co_raters": _co_raters,
+    "co_rater_counts": _common_raters,
     "popular_item_pairs": _popular_pairs,
     "popular_pair_similarity": lambda s, d: Z.popular_pair_similarities(T.ratings(s, d)),
     "pearson_similarity": _similarity("pearson", DENSE),

@@ -325,6 +325,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.business_id AS item_a, b.business_id AS item_b, a.user_id
             FROM latest a JOIN latest b ON a.user_id = b.user_id AND a.business_id < b.business_id
             WHERE a.business_id IN (SELECT business_id FROM top) AND b.business_id IN (SELECT business_id FROM top)""",
+        "co_rater_counts": _with(RATINGS, _TOP20) + """
+            , rater AS (SELECT DISTINCT business_id, user_id FROM raw WHERE business_id IN (SELECT business_id FROM top)),
+            sized AS (SELECT business_id, count(*) AS n FROM rater GROUP BY 1),
+            common AS (
+              SELECT a.business_id AS item_a, b.business_id AS item_b, count(*) AS n
+              FROM rater a JOIN rater b ON a.user_id = b.user_id AND a.business_id < b.business_id GROUP BY 1, 2)
+            SELECT a.business_id AS item_a, b.business_id AS item_b, a.n AS n_a, b.n AS n_b, coalesce(c.n, 0) AS n
+            FROM sized a JOIN sized b ON a.business_id < b.business_id
+            LEFT JOIN common c ON c.item_a = a.business_id AND c.item_b = b.business_id""",
         "popular_item_pairs": _with(RATINGS, _TOP20) + """
             , ranked AS (SELECT business_id, row_number() OVER (ORDER BY n_ratings DESC, business_id) AS rk FROM top)
             SELECT a.business_id AS first, b.business_id AS second FROM ranked a JOIN ranked b ON a.rk < b.rk""",
