@@ -121,3 +121,50 @@ def test_predictions_round_trip(spark, tmp_path):
     files.write_predictions(frame, out)
     back = spark.read.schema(schemas.PREDICTION).option("header", True).csv(out)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("mode", ["DROPMALFORMED", "PERMISSIVE"])
+def test_accounts_of_ratings(spark, tmp_path, mode):
+    write(tmp_path / "a.csv", "user_id,business_id,stars\nu1,b1,4\nu2,b2,many\nu3,b3,\n")
+    write(tmp_path / "b.csv", "user_id,business_id,stars\nu4,b1,few\nu5,b1,3\n")
+    write(tmp_path / "c.csv", "user_id,business_id,stars\nu6,b1,1\n")
+    accounts = files.Accounts()
+    frame = files.read_ratings(spark, str(tmp_path), mode, accounts=accounts)
+    assert frame.columns == ["user_id", "business_id", "stars", "rated_at"]
+    # a plan that needs one column only counts the same
+    assert len(frame.select("user_id").collect()) == (3 if mode == "DROPMALFORMED" else 6)
+    assert (accounts.records, accounts.malformed) == (6, 3)
+    file, line = accounts.first
+    assert file.endswith("a.csv") and line == "u2,b2,many"
+    assert {f[-5:]: n for f, n in accounts.by_file.items()} == {"a.csv": 2, "b.csv": 1}
+    with pytest.raises(ValueError):
+        files.read_ratings(spark, str(tmp_path), mode, accounts=accounts)
+
+
+@pytest.mark.parametrize("mode", files.MODES)
+def test_accounts_of_json(spark, tmp_path, mode):
+    bad = "" if mode == "FAILFAST" else '{"user_id": "u2", "fans": "many"}\n{"user_id": \n'
+    path = write(tmp_path / "u.json", f'{{"user_id": "u1", "fans": 3}}\nnull\n{bad}{{"user_id": "u3"}}\n')
+    accounts = files.Accounts()
+    users = files.read_users(spark, path, mode, accounts=accounts)
+    assert users.columns == [*schemas.USER.names, "read_at"]
+    users.count()
+    if mode == "FAILFAST":
+        assert (accounts.records, accounts.malformed, accounts.first, accounts.by_file) == (2, 0, None, {})
+    else:
+        assert (accounts.records, accounts.malformed) == (4, 2)
+        assert accounts.first[1] == '{"user_id": "u2", "fans": "many"}'
+        assert list(accounts.by_file.values()) == [2]
+
+
+def test_accounts_do_not_stop_a_failure(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "user_id,business_id,stars\nu1,b1,4\nu2,b2,many\n")
+    with pytest.raises(Exception, match="(?i)malformed rating: u2,b2,many"):
+        files.read_ratings(spark, path, accounts=files.Accounts()).collect()
+
+
+def test_accounts_of_nothing(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "user_id,business_id,stars\n")
+    accounts = files.Accounts()
+    assert files.read_ratings(spark, path, "DROPMALFORMED", accounts=accounts).collect() == []
+    assert (accounts.records, accounts.malformed, accounts.first, accounts.by_file) == (0, 0, None, {})
