@@ -69,3 +69,12 @@ def test_no_co_rating_is_a_row_of_a_shuffle(spark):
         assert "sum_ab" not in plan(frame).split("MapInArrow")[0] and "MapInArrow" in plan(frame)
         assert "sum((stars" not in plan(frame) and "sum((_stars" not in plan(frame)
     assert R.latest_ratings(rated).count() == rated.count()
+
+
+@pytest.mark.parametrize("tuning", TUNINGS[:1])
+def test_blank_items_count_as_the_target_itself(spark, tuning):
+    rows = [("u0", "b1", 4.0), ("u0", None, 2.0), ("u1", "b1", 3.0), ("u1", "b2", 1.0)]
+    rated = spark.createDataFrame(rows, RATED)
+    (near,) = N.cosine_neighbours(rated, rated.where("user_id = 'u0' and business_id = 'b1'").select("user_id", "business_id"), tuning=tuning).collect()
+    # (4, 4), (3, 3) and (2, 4): three co-ratings
+    assert near["similarity"] == pytest.approx(3 / 13 * 33 / (29 ** 0.5 * 41 ** 0.5))
