@@ -31,6 +31,28 @@ def test_packed_histories_open_to_what_went_in(values, with_means):
         assert np.array_equal(got_means, means[order], equal_nan=True)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("with_means", [False, True])
+def test_histories_in_order_take_few_bits(whole, with_means):
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 36, 1, 36, 0, 36])
+    items = np.concatenate([np.sort(rng.choice(1_200_000, n, replace=False)) for n in sizes]).astype(np.int64)
+    blank = rng.random(len(items)) < 0.1
+    stars = np.where(blank, 0.0, rng.integers(1, 6, len(items)) / (1 if whole else 2))
+    counts = rng.integers(1, 50, len(items))
+    means = np.where(blank, np.nan, rng.integers(0, 250, len(items)) / 2 / counts) if with_means else None
+    packed = H.pack(sizes, items, stars, blank, means, counts)
+    row, item, got, no_stars, got_means = H.unpack(pa.concat_arrays([packed, packed]).slice(6))
+    assert row.tolist() == np.repeat(np.arange(6), sizes).tolist() and item.tolist() == items.tolist()
+    assert got.tolist() == stars.tolist() and no_stars.tolist() == blank.tolist()
+    if with_means:
+        assert np.array_equal(got_means, means, equal_nan=True)
+    assert packed.buffers()[2].size < len(items) * (6 if with_means else 3.2)
+    # means that are no quotient of their counts are kept as they are
+    odd = np.full(len(items), 0.1)
+    assert np.array_equal(H.unpack(H.pack(sizes, items, stars, blank, odd, counts))[4], odd)
+
+
 def _rows(seed):
     """Ratings with blank stars, stars that are no half ones, and a user and an item with many."""
     rng = random.Random(seed)
