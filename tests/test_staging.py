@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from starweave.operators import neighbours as N
+from starweave.operators import neighbours as N, ratings as R
 from starweave.sources import fixture_views as T
 
 RATED_AT = "struct<o_orderdate: timestamp_ntz, o_orderkey: bigint, l_linenumber: int, l_quantity: double, l_shipdate: timestamp_ntz, l_extendedprice: double>"
@@ -48,3 +48,32 @@ def test_mean_predictions_have_a_row_for_each_pair(spark, key):
     known = ratings.where(F.col(key).isNotNull()).select(*entry.PAIR).distinct()
     expected = sorted(known.join(means, key).select(*entry.PAIR, "mean").collect(), key=str)
     assert sorted(map(tuple, entry._mean_predictions(ratings, means, key).collect()), key=str) == [tuple(r) for r in expected]
+
+
+def test_validation_is_encoded_without_writing_rows_to_learn_from(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(entry, "parquet_stage", lambda _: lambda frame, name: staged.setdefault(name, frame))
+    assert entry.queries()["ordinal_encode_validation"](spark, "/root/testdata/sf0.001").count() > 0
+    assert set(staged) == {"ratings", "users", "businesses"}
+    assert staged["ratings"].schema["rated_at"].dataType.names == ["o_orderdate"]
+
+
+@pytest.mark.parametrize("dealt_by", [None, "business_id"])
+def test_settled_ratings_are_the_latest(spark, dealt_by):
+    rows = [("a", "x", 1.0, 1), ("a", "x", 2.0, 2), ("a", "y", 3.0, 5), ("a", "y", 3.0, 4), ("b", "x", None, 1), ("b", "x", 4.0, 2),
+            ("b", "y", None, 3), ("b", "y", None, 4), ("c", "x", 5.0, None), ("c", "y", float("nan"), 1), (None, "x", 2.0, 1), ("c", None, 2.0, 1)]
+    ratings = spark.createDataFrame(rows, "user_id string, business_id string, stars double, rated_at int")
+    last = {(r["user_id"], r["business_id"]): str(r["stars"]) for r in R.latest_ratings(ratings).collect()}
+    found = R.settled_ratings(ratings, dealt_by=dealt_by).collect()
+    assert {(r["user_id"], r["business_id"]) for r in found} == set(last) and len(found) == len(last)
+    assert {(r["user_id"], r["business_id"]): str(r["stars"]) for r in found if r["settled"]}.items() <= last.items()
+    assert {(r["user_id"], r["business_id"]) for r in found if not r["settled"]} == {("a", "x"), ("b", "x"), ("c", "x")}
+
+
+@pytest.mark.parametrize("last", [1.0, 5.0])
+def test_neighbours_use_the_latest_of_unlike_ratings(spark, last):
+    day = "struct<o_orderdate: int>"
+    rows = [("u", "x", 6.0 - last, (1,)), ("u", "x", last, (2,)), ("u", "y", 3.0, (1,)), ("v", "x", 2.0, (1,)), ("v", "y", 4.0, (1,))]
+    ratings = spark.createDataFrame(rows, f"user_id string, business_id string, stars double, rated_at {day}")
+    near = N.cosine_neighbours(ratings, ratings.where("user_id = 'u' and business_id = 'y'").select(*entry.PAIR))
+    assert {r["item"]: r["stars"] for r in near.collect()} == {"x": last, "y": 3.0}
