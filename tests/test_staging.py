@@ -77,3 +77,14 @@ def test_neighbours_use_the_latest_of_unlike_ratings(spark, last):
     ratings = spark.createDataFrame(rows, f"user_id string, business_id string, stars double, rated_at {day}")
     near = N.cosine_neighbours(ratings, ratings.where("user_id = 'u' and business_id = 'y'").select(*entry.PAIR))
     assert {r["item"]: r["stars"] for r in near.collect()} == {"x": last, "y": 3.0}
+
+
+def test_requests_of_means_travel_without_names_and_means(spark, monkeypatch):
+    sent, ratings = [], rating_rows(spark)
+    pairs = ratings.select(*entry.PAIR).distinct()
+    plain = N.nearest
+    monkeypatch.setattr(N, "nearest", lambda asked, *rest, **options: sent.append(asked) or plain(asked, *rest, **options))
+    N.predict_cosine(ratings, pairs)
+    N.predict_pearson(ratings, pairs)
+    assert [f.schema["target"].dataType.simpleString() for f in sent] == ["bigint", "bigint"]
+    assert [f.where("mean is not null").isEmpty() for f in sent] == [True, False]
