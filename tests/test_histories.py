@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starweave.operators import corating as K, histories as H, neighbours as N, ratings as R
+from starweave.session import parquet_stage
 from starweave.settings import Tuning
 from tests.test_plans import plan
 
@@ -69,6 +70,16 @@ def test_moments_are_those_of_the_plain_join(spark, tuning):
     assert sorted(map(tuple, K.co_rating_moments(rated, tuning=tuning).collect()), key=str) == every
 
 
+@pytest.mark.parametrize("tuning", [Tuning(), Tuning(broadcast_rows=0)])
+def test_pairs_are_not_broadcast_to_get_their_names(spark, tmp_path, tuning):
+    rated = spark.createDataFrame(_rows(6), RATED)
+    found = K.co_rating_moments(rated, tuning=tuning, stage=parquet_stage(spark, str(tmp_path)))
+    text = plan(found).split("Initial Plan")[-1]
+    assert "BuildLeft" not in text and ("SortMergeJoin" if not tuning.broadcast_rows else "BroadcastHashJoin") in text
+    plain = K.moments(K.co_ratings_by_user(rated)).select("item_a", "item_b", *K.MOMENTS)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
 def test_a_group_over_several_blocks_is_summed_once(spark, monkeypatch):
     rated = spark.createDataFrame(_rows(4), RATED)
     every = sorted(map(tuple, K.moments(K.co_ratings_by_user(rated)).select("item_a", "item_b", *K.MOMENTS).collect()), key=str)
