@@ -70,6 +70,33 @@ def test_moments_are_those_of_the_plain_join(spark, tuning):
     assert sorted(map(tuple, K.co_rating_moments(rated, tuning=tuning).collect()), key=str) == every
 
 
+def test_only_users_with_many_ratings_have_cells_where_the_list_is_full(spark):
+    tuning = Tuning(heavy_user=4, grid_block=4, rows_per_slot=4, hot_keys=1)
+    numbers = {"a": 14, "b": 9, "c": 4, "d": 1}
+    rows = [(u, i, float(i % 5)) for u, n in numbers.items() for i in range(n)]
+    rated = spark.createDataFrame(rows, "user_id string, item_no bigint, stars double").withColumn("is_target", F.col("item_no") % 2 == 0)
+    (hot,) = H.measure_hot(rated, ["user_id"], tuning=tuning)
+    assert len(hot.counts) == 1 and hot.other_splits(4) > 1
+    packed = H.histories(rated, hot, tuning, with_targets=True).collect()
+    cells = {u: {r["cells"] for r in packed if r["user_id"] == u} for u in numbers}
+    assert cells["c"] == cells["d"] == {1} and min(cells["a"]) > 1 and min(cells["b"]) > 1
+    _, items, stars, _, _ = H.unpack(pa.array([r["h"] for r in packed], pa.binary()))
+    owners = [r["user_id"] for r in packed for _ in range(r["size"])]
+    assert sorted(zip(owners, items.tolist(), stars.tolist())) == sorted(rows)
+    targets = [(r["user_id"], t["t"], t["stars"]) for r in packed for t in r["targets"] or []]
+    assert sorted(targets) == sorted(r for r in rows if r[1] % 2 == 0)
+    assert len({(r["user_id"], r["cell"]) for r in packed}) == len(packed)
+
+
+def test_targets_outside_a_full_list_have_the_slots_they_need(spark):
+    h = H.pack(np.array([6]), np.arange(6), np.ones(6), np.zeros(6, bool), None).to_pylist()[0]
+    rows = spark.createDataFrame([(1, 1, 0, h), (2, 3, 0, h), (3, 1, 1, h)], "t bigint, own int, kind tinyint, h binary").withColumn("cells", F.lit(1))
+    got = H._slotted(rows.select("t", "own", "kind", "cells", F.lit(2.0).alias("stars"), "h"), [(3, 4)], 5, mark=True).collect()
+    slots = {t: sorted({r["slot"] for r in got if r["t"] == t}) for t in (1, 2, 3)}
+    assert slots[1] == [0] and len(slots[2]) > 1 and max(slots[2]) < 3 and len(slots[3]) > 1
+    assert {r["t"]: r["kind"] for r in got} == {1: 0, 2: 0, 3: 2}
+
+
 @pytest.mark.parametrize("tuning", [Tuning(), Tuning(broadcast_rows=0)])
 def test_pairs_are_not_broadcast_to_get_their_names(spark, tmp_path, tuning):
     rated = spark.createDataFrame(_rows(6), RATED)
