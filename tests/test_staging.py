@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from starweave.operators import neighbours as N, ratings as R
+from starweave.session import parquet_stage
 from starweave.sources import fixture_views as T
 
 RATED_AT = "struct<o_orderdate: timestamp_ntz, o_orderkey: bigint, l_linenumber: int, l_quantity: double, l_shipdate: timestamp_ntz, l_extendedprice: double>"
@@ -88,3 +89,15 @@ def test_requests_of_means_travel_without_names_and_means(spark, monkeypatch):
     N.predict_pearson(ratings, pairs)
     assert [f.schema["target"].dataType.simpleString() for f in sent] == ["bigint", "bigint"]
     assert [f.where("mean is not null").isEmpty() for f in sent] == [True, False]
+
+
+def test_rated_pairs_are_neither_written_nor_dealt_twice(spark, tmp_path):
+    """They are made distinct where their items' means are joined."""
+    ratings, names = rating_rows(spark), []
+    write = parquet_stage(spark, str(tmp_path))
+    found = N.predict_training_pairs(ratings, stage=lambda frame, name: names.append(name) or write(frame, name))
+    assert "asked-pairs" not in names
+    pairs = ratings.select("user_id", "business_id").distinct()
+    plain = N.predict_cosine(ratings, pairs, all_items=True, distinct=True)
+    shown = [sorted(f.select("user_id", "business_id", F.round("prediction", 9)).collect(), key=str) for f in (found, plain)]
+    assert shown[0] == shown[1] and len(shown[0]) == pairs.count() < ratings.count()
